@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Arrow batches stay this small, so that a Python worker's memory doesn't follow the length of the texts.
 BATCH_ROWS = 2_000
 BATCH_BYTES = "8m"
+#: Bytes of input for each block or bucket that an operator cuts its work into.
+BLOCK_INPUT = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,3 +51,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def n_blocks(docs: DataFrame) -> int:
+    """Blocks in proportion to the input's size, as the planner knows it."""
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // BLOCK_INPUT)) if size < 1 << 50 else least

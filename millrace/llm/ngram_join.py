@@ -29,24 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, stored
+from millrace.llm.common import map_batches, n_blocks, stored
 from millrace.llm.components import linked_components
 from millrace.llm.text_arrays import as_longs, set_print, shingle_sets
 
-#: Bytes of input for each block of columns; entries that a task gathers before it sends blocks; classes it remembers.
-BLOCK_INPUT = 8 << 20
+#: Entries that a task gathers before it sends blocks; classes it remembers.
 FLUSH_ENTRIES = 3_000_000
 SEEN_LIMIT = 2_000_000
 
 
-def n_blocks(docs: DataFrame) -> int:
-    """Blocks in proportion to the input's size, as the planner knows it."""
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, -(-size // BLOCK_INPUT)) if size < 1 << 50 else least
-
-
 def set_prints(rows: DataFrame, n: int) -> DataFrame:
     """``id, n, p1, p2`` of each row: the size of its set and what stands for it."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, language_id, ngram_join, token_counts
+from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, ngram_join, token_counts
 from millrace.llm.common import load
 
 
@@ -51,12 +51,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL = {
