@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, ngram_join, token_counts
+from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, ngram_join, pii, token_counts
 from millrace.llm.common import load
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(load(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
