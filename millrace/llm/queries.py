@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, fingerprints, language_id, ngram_join, pii, token_counts
+from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, token_counts
 from millrace.llm.common import load
 
 
@@ -13,6 +13,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(load(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
@@ -70,6 +75,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, ws[i] AS w, i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower("text"), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)
+), b AS (
+  SELECT item_id, len(ws) AS n, ws[i] AS w, i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower("text"), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM benchmark), unnest(range(1, len(ws) + 1)) AS u(i)
+), m AS (
+  SELECT doc_id, item_id, any_value(n) AS n, d.i - b.i AS shift, count(*) AS matched, list(b.i) AS places FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item_id, d.i - b.i
+  HAVING count(*) >= ceil(least(any_value(n), 20) * 80 / 100)
+), best AS (
+  SELECT *, list_max(list_transform(range(1, greatest(n - 19, 1) + 1), lambda s: len(list_filter(places, lambda p: p >= s AND p < s + 20)))) AS within FROM m
+)
+SELECT doc_id, item_id, max(n) AS item_words, max(matched) AS matched FROM best WHERE within >= ceil(least(n, 20) * 80 / 100) GROUP BY doc_id, item_id
+""",
     "op3_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
