@@ -46,8 +46,11 @@ def seed_hashes(first: Column, tokens: Column, at: Column) -> Column:
 
 
 def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``at`` and ``seed`` for every place and mask of ``t``."""
-    placed = rows.select(*keep, "t", F.posexplode("t").alias("at", "w"))
+    """``keep``, ``at`` and ``seed`` for every place and mask of ``t``.
+
+    The outer form keeps the optimizer from splitting each text once more to filter empty arrays, which can't occur.
+    """
+    placed = rows.select(*keep, "t", F.posexplode_outer("t").alias("at", "w"))
     return placed.select(*keep, "at", F.explode(seed_hashes(F.col("w"), F.col("t"), F.col("at"))).alias("seed")).where("seed is not null")
 
 
@@ -58,12 +61,12 @@ def needed(length: Column, window: int, percent: int) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``doc_id, item_id, item_words, matched`` for each document and the items copied in it; ``matched`` counts the agreeing words at the best shift."""
-    rows = docs.select("doc_id", words(F.col("text")).alias("t")).where(F.size("t") >= 4)
+    rows = docs.select("doc_id", words(F.col("text")).alias("t"))
     items = stored(benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= 4).distinct())
     test = stored(seeds(items.select("item_id", F.col("b").alias("t")), ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct())
     small = test.count() <= broadcast_hashes
     if small:
-        placed = rows.select("doc_id", "t", F.posexplode("t").alias("at", "w"))
+        placed = rows.select("doc_id", "t", F.posexplode_outer("t").alias("at", "w"))
         train = placed.select("doc_id", "t", "at", F.explode(seed_hashes(F.col("w"), F.col("t"), F.col("at"))).alias("seed"))
         hits = train.join(F.broadcast(test), "seed").select("doc_id", "t", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         laid = hits.join(F.broadcast(items), hits["item_id"].eqNullSafe(items["item_id"])).select("doc_id", "t", hits["item_id"], "b", "shift")
