@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ class ByteBpe:
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(unicode_spaces(pattern)).findall
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.memo: dict[str, tuple[int, str, bytes, bytes]] = {}
         self.neighbours: dict[tuple[bytes, bytes], bool] = {}
         self.shorter: dict[bytes, bytes | None] = {}
         self.trie = ahocorasick.Automaton()
@@ -110,16 +111,21 @@ class ByteBpe:
                 at -= len(token)
         return out
 
-    def look_up(self, word: str) -> tuple[int, str, bytes]:
-        """Of a pre-token: number of ids, the ids joined by commas, and the bytes that the ids decode to."""
+    def look_up(self, word: str) -> tuple[int, str, bytes, bytes]:
+        """Of a pre-token: number of ids, the ids joined by commas, the bytes that the ids decode to, and the ids as 32-bit numbers."""
         ids = [self.ranks[x] for x in self.pieces(word.encode("utf-8"))]
         if len(self.memo) >= MEMO_LIMIT:
             self.memo.clear()
-        found = self.memo[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        found = self.memo[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids), np.array(ids, np.int32).tobytes())
         return found
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for word in self.split(text) for x in (self.memo.get(word) or self.look_up(word))[1].split(",")]
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        memo = self.memo
+        return b"".join([(memo.get(word) or self.look_up(word))[3] for word in self.split(text)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -147,17 +153,29 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, the token ids and the decoded text (null text: no ids, empty text)."""
+    """For each row its id and the token ids (null text: none)."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(sent.value, pattern)
         for batch in batches:
-            ids = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
-            back = [bpe.decode(x).decode("utf-8", "replace") for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["id", "ids", "decoded"])
+            rows = [bpe.packed(x or "") for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["id", "ids"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """For each row its id and the text that its token ids stand for (null ids: empty text)."""
+    sent = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(sent.value, pattern)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_batches(encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")), run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

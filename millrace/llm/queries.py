@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, substring_dedup, token_counts
+from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, quality, substring_dedup, token_counts
 from millrace.llm.common import load
 
 
@@ -39,6 +39,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language_id.is_held_out(F.col("doc_id"))
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
+    "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
