@@ -1,22 +1,26 @@
 """Links between sets, and connected components, without pairing all members of a group.
 
 ``linked_components`` finds the components of the graph in which two sets are linked when
-their Jaccard similarity reaches a bound, given postings (key, id) such that linked sets
-share a key. In each round every key's list picks one pivot; the pivot is compared with
-the members that are not yet in its component, and leaves the list. A group of g copies
-thus costs about g comparisons, not g * g. Only pairs that already are in one component
-are left out, so no component is missed. When few pairs are left, they are compared at once.
+their Jaccard similarity reaches a bound, given postings such that linked sets share a key.
+A posting says how many members of its set may still be shared where its key is the first
+shared one; with the sizes this bounds every overlap before any members are compared, and
+drops postings that no other of their list can meet. In each round every key's list picks
+a pivot, the set with the largest part that may be shared; it is compared with those that
+are not yet in its component, and leaves the list. A group of g copies thus costs about g
+comparisons, not g * g. Only pairs that already are in one component, or that the bounds
+rule out, are left out, so no component is missed. When the pairs left to look at are in
+proportion to the postings, they are looked at at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 
-#: Rounds with pivots at most, before all pairs that are left are compared.
-MAX_ROUNDS = 24
+#: Rounds with pivots at least and at most, and the pairs for each posting that may be looked at at once.
+LEAST_ROUNDS, MAX_ROUNDS, AT_ONCE = 2, 24, 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -52,37 +56,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_components(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, component`` of the ids that are linked with any other. ``postings(key, id, n)`` must give linked sets a common key."""
-    ratio = percent / 100.0
-    lists = stored(postings.select("key", "id", F.col("n").cast("long").alias("n")).distinct())
+    """``id, component`` of the ids that are linked with any other.
+
+    ``postings(key, id, n, u)`` must give linked sets a common key; with that as the first common
+    one no more than u members are shared. ``sets(id, n, h)`` as in ``verified``.
+    """
+    # 100 * o >= percent * (a + b - o) with o <= u says: the other's size is at most u * (100 + percent) / percent - n.
+    room = F.floor(F.col("u") * (100 + percent) / percent) - F.col("n")
+    lists = stored(postings.select("key", "id", F.col("n").cast("long").alias("n"), "u").groupBy("key", "id", "n").agg(F.max("u").alias("u")).withColumn("room", room.cast("long")))
+    at_once = AT_ONCE * lists.count()
     links = None
     labels = None
-    close = lambda a, b: (a >= ratio * b) & (b >= ratio * a)
+
+    def may_link(n: Column, room_of_n: Column, m: Column, room_of_m: Column) -> Column:
+        return (100 * n >= percent * m) & (100 * m >= percent * n) & (m <= room_of_n) & (n <= room_of_m)
+
     for k in range(MAX_ROUNDS + 1):
         if labels is None:
             marked = lists.withColumn("label", F.col("id"))
         else:
             marked = lists.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # A list whose members are all in one component has nothing more to say.
-        pivot = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("x"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("label").alias("label")))
+        # A list whose members are all in one component has nothing more to say, nor has a member that is too large or has too little room for all others.
+        ends = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("room").alias("most")).where("lo <> hi").select("key", "least", "most")
+        marked = marked.join(ends, "key").where("room >= least and n <= most").drop("least", "most")
+        pivot = F.max(F.struct((F.col("u") / F.col("n")).alias("x"), F.xxhash64("id", F.lit(k)).alias("y"), *[F.col(c).alias(c) for c in ("id", "n", "room", "label")]))
+        marked = stored(marked)
         still_open = marked.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("p")).where("lo <> hi").select("key", "size", "p")
         marked = stored(marked.join(still_open, "key"))
-        total = marked.agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("double")).alias("pairs")).first()
+        total = marked.agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("double")).alias("pairs"), F.max("size").alias("largest")).first()
         if not total["rows"]:
             break
-        last = k == MAX_ROUNDS or total["pairs"] <= 12 * total["rows"]
+        last = k == MAX_ROUNDS or (total["pairs"] <= at_once and (k >= LEAST_ROUNDS or total["largest"] <= 3))
         if last:
-            other = marked.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("its"))
-            pairs = marked.join(other, "key").where((F.col("id") < F.col("other")) & (F.col("label") != F.col("its")) & close(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("other").alias("b"))
+            other = marked.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "room", "label")])
+            both = marked.join(other, "key").where((F.col("id") < F.col("id_2")) & (F.col("label") != F.col("label_2")) & may_link(F.col("n"), F.col("room"), F.col("n_2"), F.col("room_2")))
+            pairs = both.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
         else:
-            pairs = marked.where((F.col("label") != F.col("p.label")) & close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+            met = marked.where((F.col("label") != F.col("p.label")) & may_link(F.col("n"), F.col("room"), F.col("p.n"), F.col("p.room")))
+            pairs = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         new = stored(verified(pairs.distinct(), sets, percent))
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             labels = connected_components(links)
         if last:
             break
-        lists = marked.where(F.col("id") != F.col("p.id")).select("key", "id", "n")
+        lists = marked.where(F.col("id") != F.col("p.id")).select("key", "id", "n", "u", "room")
     if labels is None:
         return sets.sparkSession.createDataFrame([], "id long, component long")
     return labels

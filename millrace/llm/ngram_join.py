@@ -9,7 +9,9 @@ discard rows and pairs:
 * of its shared n-grams, ordered from rare to frequent, a linked pair must have one in
   common among the first ``shared - ceil(0.75 n) + 1`` (those that only one document has
   would come first), so that lines which very many documents share propose no pairs;
-* sizes must be within 75 % of each other.
+* sizes must be within 75 % of each other;
+* where the first shared n-gram stands at place p of a document's ``shared``, no more than
+  ``shared - p`` can be common, which must suffice for both.
 
 Overlap counts are accumulated for the pairs that are left. Equal sets are one class from
 the start, and each task sends a class's columns once, however many copies it sees.
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches, n_blocks, stored
 from millrace.llm.components import linked_components
-from millrace.llm.text_arrays import as_longs, set_print, shingle_sets
+from millrace.llm.text_arrays import set_print, shingle_sets
 
 #: Entries that a task gathers before it sends blocks; classes it remembers.
 FLUSH_ENTRIES = 3_000_000
 SEEN_LIMIT = 2_000_000
+COLUMN_BYTES = 6
 
 
 def set_prints(rows: DataFrame, n: int) -> DataFrame:
@@ -50,8 +53,17 @@ def set_prints(rows: DataFrame, n: int) -> DataFrame:
     return map_batches(rows, run, "id long, n long, p1 long, p2 long")
 
 
+def rows_by_task(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batch_rows:
+        yield from batch.column(1).to_pylist()
+
+
 def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
-    """``block, payload``: the entries of the matrix by block of columns, for one document of each class and task."""
+    """``block, payload``: the entries of the matrix by block of columns, for one document of each class and task.
+
+    Of a column, the block's number and ``COLUMN_BYTES`` bytes are kept: enough for chance
+    to make two columns of a pair of documents one about once in 2^50.
+    """
 
     def packed(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -59,7 +71,8 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         block = (h % np.uint64(blocks)).astype(np.int32)
         order = np.argsort(block, kind="stable")
-        h, owner, block = h[order], owner[order], block[order]
+        column, owner, block = h[order] // np.uint64(blocks), owner[order], block[order]
+        low, high = column.astype(np.uint32), (column >> np.uint64(32)).astype(np.uint16)
         cuts = np.searchsorted(block, np.arange(blocks + 1))
         all_ids = np.array(ids, np.int64)
         for at in range(0, blocks, 64):
@@ -71,7 +84,7 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
                     docs = own[first]
                     count = np.diff(np.append(first, len(own))).astype(np.int32)
                     names.append(b)
-                    payloads.append(b"".join([np.int64(len(docs)).tobytes(), all_ids[docs].tobytes(), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), h[cuts[b] : cuts[b + 1]].tobytes()]))
+                    payloads.append(b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), all_ids[docs].tobytes(), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), low[cuts[b] : cuts[b + 1]].tobytes(), high[cuts[b] : cuts[b + 1]].tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,56 +111,84 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
     return map_batches(rows, run, "block int, payload binary")
 
 
-def shared_entries(blocks: DataFrame) -> DataFrame:
-    """``id, n, entries``: by document and task, the hashes and counts (8 and 4 bytes each) of the columns that two or more rows of the block have."""
+def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
+    """``block, payload``: by block of rows, the columns (as longs) that two or more documents have, with how many do (255: that many or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, counts, hashes = [], [], [], []
+        ids, sizes, counts, keys = [], [], [], []
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                k = int(np.frombuffer(raw, np.int64, 1)[0])
-                ids.append(np.frombuffer(raw, np.int64, k, 8))
-                sizes.append(np.frombuffer(raw, np.int32, k, 8 + 8 * k))
-                counts.append(np.frombuffer(raw, np.int32, k, 8 + 12 * k))
-                hashes.append(np.frombuffer(raw, np.uint64, -1, 8 + 16 * k))
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, m = map(int, np.frombuffer(raw, np.int64, 2))
+                ids.append(np.frombuffer(raw, np.int64, k, 16))
+                sizes.append(np.frombuffer(raw, np.int32, k, 16 + 8 * k))
+                counts.append(np.frombuffer(raw, np.int32, k, 16 + 12 * k))
+                column = np.frombuffer(raw, np.uint16, m, 16 + 16 * k + 4 * m).astype(np.uint64) << np.uint64(32)
+                column |= np.frombuffer(raw, np.uint32, m, 16 + 16 * k)
+                keys.append(column * np.uint64(blocks) + np.uint64(block))
         if not ids:
             return
         all_ids, all_sizes = np.concatenate(ids), np.concatenate(sizes)
         owner = np.repeat(np.arange(len(all_ids), dtype=np.int32), np.concatenate(counts))
-        h = np.concatenate(hashes)
-        del hashes, counts
+        h = np.concatenate(keys)
+        del keys, counts
         order = np.argsort(h)
         h, owner = h[order], owner[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        df = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h)))).astype(np.int32)
+        same = np.diff(np.append(first, len(h)))
+        df = np.repeat(np.minimum(same, 255).astype(np.uint8), same)
         keep = df > 1
         h, owner, df = h[keep], owner[keep], df[keep]
-        order = np.argsort(owner, kind="stable")
-        h, owner, df = h[order], owner[order], df[order]
-        first = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(owner))
-        for at in range(0, len(first), 20_000):
-            part = [(h[a:b].tobytes() + df[a:b].tobytes(), owner[a]) for a, b in zip(first[at : at + 20_000], ends[at : at + 20_000], strict=True)]
-            who = np.array([x[1] for x in part], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(all_ids[who]), pa.array(all_sizes[who].astype(np.int64)), pa.array([x[0] for x in part], pa.binary())], ["id", "n", "entries"])
-
-    return map_batches(blocks, run, "id long, n long, entries binary")
-
-
-def sparse_rows(parts: DataFrame, percent: int) -> DataFrame:
+        to = (all_ids[owner] % blocks).astype(np.int32)
+        order = np.lexsort((owner, to))
+        h, owner, df, to = h[order], owner[order], df[order], to[order]
+        cuts = np.searchsorted(to, np.arange(blocks + 1))
+        for b in range(blocks):
+            own = owner[cuts[b] : cuts[b + 1]]
+            if len(own):
+                first = np.flatnonzero(np.append(True, np.diff(own) != 0))
+                docs = own[first]
+                count = np.diff(np.append(first, len(own))).astype(np.int32)
+                payload = b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), all_ids[docs].tobytes(), all_sizes[docs].tobytes(), count.tobytes(), h[cuts[b] : cuts[b + 1]].tobytes(), df[cuts[b] : cuts[b + 1]].tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
+
+    return map_batches(columns, run, "block int, payload binary")
+
+
+def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
     """``id, n, k, h`` of the documents that enough shared columns are left of; h is ordered from rare to frequent and the first k must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, n, blobs in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in blobs])
-                df = np.concatenate([np.frombuffer(x, np.int32, len(x) // 12, 8 * (len(x) // 12)) for x in blobs])
-                rows.append((i, n, len(h) - -(-percent * n // 100) + 1, as_longs(h[np.lexsort((h, df))])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.list_(pa.int64()))], ["id", "n", "k", "h"])
-
-    own = parts.groupBy("id", "n").agg(F.collect_list("entries").alias("blobs"), F.sum(F.octet_length("entries") / 12).alias("shared"))
-    return map_batches(own.where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "blobs"), run, "id long, n long, k int, h array<long>")
+        ids, sizes, counts, keys, often = [], [], [], [], []
+        for raw in rows_by_task(batches):
+            k, m = map(int, np.frombuffer(raw, np.int64, 2))
+            ids.append(np.frombuffer(raw, np.int64, k, 16))
+            sizes.append(np.frombuffer(raw, np.int32, k, 16 + 8 * k))
+            counts.append(np.frombuffer(raw, np.int32, k, 16 + 12 * k))
+            keys.append(np.frombuffer(raw, np.int64, m, 16 + 16 * k))
+            often.append(np.frombuffer(raw, np.uint8, m, 16 + 16 * k + 8 * m))
+        if not ids:
+            return
+        row_ids, row_sizes, row_counts = np.concatenate(ids), np.concatenate(sizes), np.concatenate(counts)
+        # Documents with equal ids but of different sizes stay apart.
+        docs, of = np.unique(np.stack([row_ids, row_sizes.astype(np.int64)]), axis=1, return_inverse=True)
+        of = of.reshape(-1)
+        total = np.bincount(of, weights=row_counts, minlength=docs.shape[1])
+        dense = 100 * total >= percent * docs[1]
+        owner = np.repeat(of, row_counts)
+        keep = dense[owner]
+        owner, h, df = owner[keep], np.concatenate(keys)[keep], np.concatenate(often)[keep]
+        order = np.lexsort((h, df, owner))
+        owner, h = owner[order], h[order]
+        which = np.flatnonzero(dense)
+        starts, ends = np.searchsorted(owner, which), np.searchsorted(owner, which, "right")
+        for at in range(0, len(which), 2_000):
+            part = slice(at, at + 2_000)
+            sets = [h[a:b] for a, b in zip(starts[part], ends[part], strict=True)]
+            n = docs[1][which[part]]
+            k = np.array([len(x) for x in sets], np.int64) - -(-percent * n // 100) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(docs[0][which[part]]), pa.array(n), pa.array(k.astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "k", "h"])
+
+    return map_batches(shared, run, "id long, n long, k int, h array<long>")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,13 +199,30 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: s
     classes = filled.groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
     known = stored(filled.join(classes, ["n", "p1", "p2"]).select("id", "n", "p1", "p2", "rep"))
     blocks = n_blocks(docs)
-    parts = shared_entries(column_blocks(rows, n, blocks).repartition(blocks, "block"))
-    # What several tasks sent of one class is the same: one of each block is enough, under the name of the class.
-    cells = parts.join(known.select("id", "rep").distinct(), "id")
-    one = cells.groupBy("rep", "n", F.xxhash64(F.substring("entries", 1, 8)).alias("cell")).agg(F.min_by("entries", "id").alias("entries"))
-    sets = stored(sparse_rows(one.select(F.col("rep").alias("id"), "n", "entries"), percent))
-    postings = sets.select(F.explode(F.slice("h", F.lit(1), F.col("k"))).alias("key"), "id", "n")
+    shared = shared_entries(column_blocks(rows, n, blocks).repartition(blocks, "block"), blocks)
+    sparse = sparse_rows(shared.repartition(blocks, "block"), percent)
+    # What several tasks sent of one class has equal columns: one row is enough, under the name of the class.
+    named = sparse.join(known.select("id", "n", "rep").distinct(), ["id", "n"])
+    one = named.groupBy("rep", "n").agg(F.min_by(F.struct("k", "h"), "id").alias("row"))
+    sets = stored(one.select(F.col("rep").alias("id"), "n", "row.k", "row.h"))
+    postings = sets.select(F.posexplode(F.slice("h", F.lit(1), F.col("k"))).alias("place", "key"), "id", "n", "h").select("key", "id", "n", (F.size("h") - F.col("place")).cast("long").alias("u"))
     found = linked_components(postings, sets, percent)
     out = known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = prints.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The document of the smallest id of each component, with all its columns; rows without an id stay.
+
+    Ids to remove, and ids that occur more than once, are written tables whose sizes the
+    planner knows; of rows that are repeated in id and text one stays.
+    """
+    found = stored(jaccard_components(docs, percent))
+    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct())
+    twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.dropDuplicates(["doc_id", "text"]))

@@ -82,10 +82,6 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def as_longs(x: np.ndarray) -> np.ndarray:
-    """The same bits as Spark's signed longs."""
-    return x.view(np.int64)
-
 
 def set_print(x: np.ndarray) -> tuple[int, int]:
     """Two longs that stand for a set of hashes."""
