@@ -2,8 +2,8 @@
 
 A paragraph (a line) of at least ``MIN_WORDS`` words has the set of its 5-word shingles.
 Paragraphs with equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum hashes each,
-a shape with a recall of 0.999998 at a similarity of 0.75, propose pairs of classes; the
-exact Jaccard similarity of 0.75 or more links them; components are clusters. Of each
+a shape with a recall of 0.999998 at a similarity of 0.75, tell which classes collide;
+an exact join of these links those whose Jaccard similarity is 0.75 or more; components are clusters. Of each
 cluster the occurrence first in (document, paragraph) stays and all others are removals.
 
 Defined results: null texts have no paragraphs; shorter paragraphs are left alone; texts of any
@@ -23,23 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, stored
+from millrace.llm.common import map_batches, n_blocks, stored
 from millrace.llm.components import linked_components
+from millrace.llm.ngram_join import first_columns, sparse_matrix
 from millrace.llm.text_arrays import mixed, set_print, shingle_sets
 
 MIN_WORDS, PERCENT, SHINGLE = 25, 75, 5
 BANDS, ROWS = 16, 2
-_SALTS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Classes that a task remembers, to compute bands once for each.
 SEEN_LIMIT = 500_000
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A long for each band of a non-empty set."""
-    lows = np.array([mixed(shingles ^ salt).min() for salt in _SALTS], np.uint64).reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        keys = mixed(keys ^ lows[:, k])
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set (none empty) a long for each band: all sets of a batch at once, one minimum hash after the other."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    shingles = np.concatenate(sets)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(sets), axis=0)
+    for k, factor in enumerate(_FACTORS):
+        # The shingles' hashes are mixed already: multiplying by an odd number orders them anew.
+        keys[:, k // ROWS] = mixed(keys[:, k // ROWS] ^ mixed(np.minimum.reduceat(shingles * factor, starts)))
     return keys.view(np.int64)
 
 
@@ -64,17 +68,19 @@ def find_paragraphs(docs: DataFrame, min_words: int, id_col: str, text_col: str)
                 for k, a, b, n in paragraphs(text or "", min_words):
                     rows.append((i, k, a, b, n))
                     lines.append(text[a:b].encode("utf-8"))
-            prints, bands = [], []
-            for x in shingle_sets(lines, SHINGLE):
+            prints, new, fresh = [], [], []
+            for k, x in enumerate(shingle_sets(lines, SHINGLE)):
                 key = (len(x), *set_print(x))
                 prints.append(key)
-                if key in seen:
-                    bands.append(None)
-                else:
+                if key not in seen:
                     if len(seen) >= SEEN_LIMIT:
                         seen.clear()
                     seen.add(key)
-                    bands.append(band_keys(x))
+                    new.append(k)
+                    fresh.append(x)
+            bands: list = [None] * len(rows)
+            for k, keys in zip(new, band_keys(fresh) if new else (), strict=True):
+                bands[k] = keys
             arrays = [pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.int32()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([x[k] for x in prints], pa.int64()) for k in range(3)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "para", "start", "end", "n_words", "n", "p1", "p2", "bands"])
 
@@ -82,25 +88,24 @@ def find_paragraphs(docs: DataFrame, min_words: int, id_col: str, text_col: str)
     return map_batches(rows, run, "doc_id long, para int, start int, end int, n_words int, n long, p1 long, p2 long, bands array<long>")
 
 
-def paragraph_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h`` for the paragraphs ``wanted(id, doc_id, start, end, n)``, read again from their documents."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end", "n")).alias("asked"))
+def paragraph_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` (as bytes) of the paragraphs ``wanted(id, doc_id, start, end, n, p1, p2)``, read again from their documents."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end", "n", "p1", "p2")).alias("asked"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     met = texts.join(stored(asked), "doc_id").select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines = [], []
+            asked_for, lines = [], []
             for text, asked_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for x in asked_of:
-                    ids.append((x["id"], x["n"]))
+                    asked_for.append(x)
                     lines.append((text or "")[x["start"] : x["end"]].encode("utf-8"))
-            sets = shingle_sets(lines, SHINGLE)
-            # A row with the same id but another text has another number of shingles, or is caught by its absence from the class.
-            kept = [(i, n, x) for (i, n), x in zip(ids, sets, strict=True) if len(x) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64()), pa.array([x[2].view(np.int64) for x in kept], pa.list_(pa.int64()))], ["id", "n", "h"])
+            # Another row with the same id has another paragraph, or none, in that place.
+            same = [(len(s), *set_print(s)) == (x["n"], x["p1"], x["p2"]) for x, s in zip(asked_for, shingle_sets(lines, SHINGLE), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x, ok in zip(asked_for, same, strict=True) if ok], pa.int64()), pa.array([x for x, ok in zip(lines, same, strict=True) if ok], pa.binary())], ["id", "text"])
 
-    return map_batches(met, run, "id long, n long, h array<long>")
+    return map_batches(met, run, "id long, text binary")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,13 +117,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     # One of each class, summed up before it is shuffled: a passage in a third of all documents is one row from each task.
     place = F.struct("doc_id", "start", "end")
     classes = stored(found.groupBy("n", "p1", "p2").agg(F.min("row").alias("rep"), F.max("bands").alias("bands"), F.min_by(place, "row").alias("at")))
-    bands = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
+    bands = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     met = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    postings = stored(bands.join(met, "key"))
-    proposed = postings.select("id").distinct()
-    wanted = classes.join(proposed, classes["rep"] == proposed["id"]).select("id", "at.doc_id", "at.start", "at.end", "n").where("doc_id is not null")
-    sets = stored(paragraph_sets(docs, wanted, id_col, text_col).dropDuplicates(["id"]))
-    linked = linked_components(postings, sets, percent)
+    proposed = bands.join(met, "key").select("id").distinct()
+    wanted = classes.join(proposed, classes["rep"] == proposed["id"]).select("id", "at.doc_id", "at.start", "at.end", "n", "p1", "p2").where("doc_id is not null")
+    # Colliding paragraphs meet in the exact join, whose bounds on sizes and places keep the pairs few even where thousands share half their text.
+    texts = stored(paragraph_texts(docs, wanted, id_col, text_col).dropDuplicates(["id"]))
+    sets = stored(sparse_matrix(texts, SHINGLE, percent, n_blocks(texts)))
+    linked = linked_components(first_columns(sets), sets, percent)
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "p1", "p2", F.coalesce("component", "rep").alias("cluster"))
     members = found.drop("bands", "row").join(named, ["n", "p1", "p2"]).drop("n", "p1", "p2")
     members = stored(members)
