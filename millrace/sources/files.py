@@ -63,7 +63,7 @@ def open_table(spark: SparkSession, path: str) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> str:
     """A small report as one CSV file; arrays as JSON, white space kept."""
     arrays = {c: F.to_json(c) for c, kind in report.dtypes if kind.startswith(("array", "struct", "map"))}
-    report.withColumns(arrays).coalesce(1).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    report.withColumns(arrays).coalesce(1).write.mode("overwrite").csv(path, header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
