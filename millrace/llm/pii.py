@@ -191,7 +191,8 @@ def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of each row of ``docs(doc_id, text)``."""
     names = F.array(*map(F.lit, KINDS))
     both = F.sort_array(F.concat("base", F.transform("added", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     spans = F.array_join(F.transform(both, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return find_spans(docs).select(F.col("id").alias("doc_id"), *counts, "base_sha256", spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
 
