@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import date_key, days_between, fiscal_quarter
 from millrace.operators.keys import surrogate_keys
+from millrace.sources.files import write_table
 
 UNKNOWN_KEY = -1
 
@@ -115,10 +117,17 @@ class Star:
     fact: DataFrame
 
 
-def build_star(customers: DataFrame, products: DataFrame, sellers: DataFrame, orders: DataFrame, items: DataFrame, unknown_customer: bool = False) -> Star:
-    """All five tables, lazily: nothing runs before a query needs it."""
-    c, p, s = customer_dimension(unknown_customer).build(customers), product_dimension().build(products), seller_dimension().build(sellers)
-    return Star(date_dimension(orders), c, p, s, fact_order_items(items, orders, c, p, s))
+def build_star(customers: DataFrame, products: DataFrame, sellers: DataFrame, orders: DataFrame, items: DataFrame, unknown_customer: bool = False, keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> Star:
+    """All five tables, lazily: nothing runs before a query needs it. ``keep(name, table)`` may store a table and return it as read again; the fact is then built on stored dimensions of known size."""
+    c = keep("dim_customer", customer_dimension(unknown_customer).build(customers))
+    p = keep("dim_product", product_dimension().build(products))
+    s = keep("dim_seller", seller_dimension().build(sellers))
+    return Star(keep("dim_date", date_dimension(orders)), c, p, s, keep("fact", fact_order_items(items, orders, c, p, s)))
+
+
+def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A ``keep`` that writes Parquet below a folder: built once, queried often."""
+    return lambda name, df: df.sparkSession.read.schema(df.schema).parquet(write_table(df, f"{folder}/{name}"))
 
 
 def at_common_grain(facts: dict[str, tuple[DataFrame, dict[str, Column]]], key: str) -> DataFrame:

@@ -12,12 +12,20 @@ from millrace.operators import gates, profile, scd, star
 from millrace.operators.cleaning import Cleaner
 from millrace.plans import scd_queries, star_queries
 from millrace.sources import roles
+from millrace.sources.files import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def build(spark: SparkSession, d: str) -> star.Star:
-    return star.build_star(roles.raw_customers(spark, d), roles.raw_products(spark, d), roles.raw_sellers(spark, d), roles.raw_orders(spark, d), roles.raw_order_items(spark, d))
+_STARS: dict[tuple[str, str], star.Star] = {}
+
+
+def build(spark: SparkSession, d: str, again: bool = False) -> star.Star:
+    """The warehouse of the tables in ``d``: built and stored at a session's first query, then read. ``again`` builds it anew, as after a change of the tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if again or key not in _STARS:
+        _STARS[key] = star.build_star(roles.raw_customers(spark, d), roles.raw_products(spark, d), roles.raw_sellers(spark, d), roles.raw_orders(spark, d), roles.raw_order_items(spark, d), keep=star.stored_in(shared_folder(spark)))
+    return _STARS[key]
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import PurePosixPath
 from urllib.parse import unquote, urlparse
 
@@ -52,6 +54,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset, as on one machine, below the temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+
+
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """A table for reading; ``MissingTableError`` if it isn't there."""
     try:
