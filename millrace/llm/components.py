@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stored
 
 #: Rounds with pivots at least and at most, and the pairs for each posting that may be looked at at once.
-LEAST_ROUNDS, MAX_ROUNDS, AT_ONCE = 2, 24, 64
+LEAST_ROUNDS, MAX_ROUNDS, AT_ONCE = 2, 24, 512
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
