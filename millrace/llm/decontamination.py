@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds, with DataFrame operations only.
 
-Texts are words: lower-cased runs of anything but white space. Each mask says which words
+Texts are words: lower-cased runs of letters and digits, so marks and white space make no
+difference. Each mask says which words
 of a run count; the words under its ones are hashed together with the mask's number, so a
 substituted word under a zero doesn't hide a copy. Test and training hashes are joined. A
 hit fixes an item and a shift; the item is laid along the document at that shift, and
@@ -28,11 +29,12 @@ from millrace.llm.common import stored
 MASKS = ("1111", "11011", "1001011")
 WINDOW, PERCENT = 20, 80
 BROADCAST_HASHES = 500_000
-SPACES = " \t\n\x0b\f\r"
+GAPS = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))), "[ \\t\\n\\x0B\\f\\r]+")
+    """The words in order; an empty one stands first or last where the text begins or ends with other characters."""
+    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), GAPS)
 
 
 def seed_hashes(first: Column, tokens: Column, at: Column) -> Column:
@@ -62,7 +64,7 @@ def needed(length: Column, window: int, percent: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``doc_id, item_id, item_words, matched`` for each document and the items copied in it; ``matched`` counts the agreeing words at the best shift."""
     rows = docs.select("doc_id", words(F.col("text")).alias("t"))
-    items = stored(benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b") >= 4).distinct())
+    items = stored(benchmark.select("item_id", F.filter(words(F.col("text")), lambda w: w != "").alias("b")).where(F.size("b") >= 4).distinct())
     test = stored(seeds(items.select("item_id", F.col("b").alias("t")), ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct())
     small = test.count() <= broadcast_hashes
     if small:
