@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import PurePosixPath
@@ -55,8 +56,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset, as on one machine, below the temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset on a single machine, below the temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
