@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches stay this small, so that a Python worker's memory doesn't follow the length of the texts.
 BATCH_ROWS = 2_000
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 #: Bytes of input for each block or bucket that an operator cuts its work into.
 BLOCK_INPUT = 8 << 20
 
@@ -29,27 +34,53 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB") in ("-1", "67108864", "2147483647", "9223372036854775807"):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back_memory() -> None:
+    """Return what a task has freed to the system: workers are kept for later stages, and what they hold adds up beside the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for a written table, below spark.checkpoint.dir (set here only where it is unset, as in tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    """A new folder for a written table, below spark.checkpoint.dir (set here only where it is unset on a single machine, as in tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"millrace-{uuid.uuid4().hex}")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    It cuts the lineage, survives a lost executor, and gives the planner true sizes.
+    It cuts the lineage, survives a lost executor, and gives the planner true sizes. The
+    folder goes when the driver's Python ends in the usual way.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

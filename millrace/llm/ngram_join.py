@@ -35,8 +35,8 @@ from millrace.llm.common import map_batches, n_blocks, stored
 from millrace.llm.components import linked_components
 from millrace.llm.text_arrays import set_print, shingle_sets
 
-#: Entries that a task gathers before it sends blocks; classes it remembers.
-FLUSH_ENTRIES = 3_000_000
+#: Entries that a task gathers before it sends blocks, and sorts at a time; classes it remembers.
+FLUSH_ENTRIES, SORT_ENTRIES = 1_000_000, 500_000
 SEEN_LIMIT = 2_000_000
 COLUMN_BYTES = 6
 
@@ -58,6 +58,11 @@ def rows_by_task(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         yield from batch.column(1).to_pylist()
 
 
+def steps(ids: np.ndarray) -> bytes:
+    """The differences between neighbours: ids of a scan lie close together, so that these compress."""
+    return np.diff(ids, prepend=0).tobytes()
+
+
 def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
     """``block, payload``: the entries of the matrix by block of columns, for one document of each class and task.
 
@@ -84,7 +89,7 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
                     docs = own[first]
                     count = np.diff(np.append(first, len(own))).astype(np.int32)
                     names.append(b)
-                    payloads.append(b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), all_ids[docs].tobytes(), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), low[cuts[b] : cuts[b + 1]].tobytes(), high[cuts[b] : cuts[b + 1]].tobytes()]))
+                    payloads.append(b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), steps(all_ids[docs]), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), low[cuts[b] : cuts[b + 1]].tobytes(), high[cuts[b] : cuts[b + 1]].tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,30 +119,43 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
 def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
     """``block, payload``: by block of rows, the columns (as longs) that two or more documents have, with how many do (255: that many or more)."""
 
+    def decoded(raws: list[tuple[int, bytes]], part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and the numbers of their rows, of one part of the columns."""
+        keys, owners, row = [], [], 0
+        for block, raw in raws:
+            k, m = map(int, np.frombuffer(raw, np.int64, 2))
+            column = np.frombuffer(raw, np.uint16, m, 16 + 16 * k + 4 * m).astype(np.uint64) << np.uint64(32)
+            column |= np.frombuffer(raw, np.uint32, m, 16 + 16 * k)
+            own = column % np.uint64(parts) == part
+            owners.append(np.repeat(np.arange(row, row + k, dtype=np.int32), np.frombuffer(raw, np.int32, k, 16 + 12 * k))[own])
+            keys.append(column[own] * np.uint64(blocks) + np.uint64(block))
+            row += k
+        return np.concatenate(keys), np.concatenate(owners)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, counts, keys = [], [], [], []
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, m = map(int, np.frombuffer(raw, np.int64, 2))
-                ids.append(np.frombuffer(raw, np.int64, k, 16))
-                sizes.append(np.frombuffer(raw, np.int32, k, 16 + 8 * k))
-                counts.append(np.frombuffer(raw, np.int32, k, 16 + 12 * k))
-                column = np.frombuffer(raw, np.uint16, m, 16 + 16 * k + 4 * m).astype(np.uint64) << np.uint64(32)
-                column |= np.frombuffer(raw, np.uint32, m, 16 + 16 * k)
-                keys.append(column * np.uint64(blocks) + np.uint64(block))
-        if not ids:
+        raws = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if not raws:
             return
-        all_ids, all_sizes = np.concatenate(ids), np.concatenate(sizes)
-        owner = np.repeat(np.arange(len(all_ids), dtype=np.int32), np.concatenate(counts))
-        h = np.concatenate(keys)
-        del keys, counts
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        same = np.diff(np.append(first, len(h)))
-        df = np.repeat(np.minimum(same, 255).astype(np.uint8), same)
-        keep = df > 1
-        h, owner, df = h[keep], owner[keep], df[keep]
+        shapes = [tuple(map(int, np.frombuffer(raw, np.int64, 2))) for _, raw in raws]
+        all_ids = np.concatenate([np.cumsum(np.frombuffer(raw, np.int64, k, 16)) for (_, raw), (k, _) in zip(raws, shapes, strict=True)])
+        all_sizes = np.concatenate([np.frombuffer(raw, np.int32, k, 16 + 8 * k) for (_, raw), (k, _) in zip(raws, shapes, strict=True)])
+        # Sorted a part at a time: what is in memory at once is in proportion to the part.
+        parts = -(-sum(m for _, m in shapes) // SORT_ENTRIES)
+        found = []
+        for part in range(parts):
+            h, owner = decoded(raws, part, parts)
+            order = np.argsort(h)
+            h, owner = h[order], owner[order]
+            del order
+            same = h[1:] == h[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            h, owner = h[keep], owner[keep]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(h)))
+            found.append((h, owner, np.repeat(np.minimum(times, 255).astype(np.uint8), times)))
+        del raws
+        h, owner, df = (np.concatenate([x[k] for x in found]) for k in range(3))
+        del found
         to = (all_ids[owner] % blocks).astype(np.int32)
         order = np.lexsort((owner, to))
         h, owner, df, to = h[order], owner[order], df[order], to[order]
@@ -148,7 +166,7 @@ def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
                 first = np.flatnonzero(np.append(True, np.diff(own) != 0))
                 docs = own[first]
                 count = np.diff(np.append(first, len(own))).astype(np.int32)
-                payload = b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), all_ids[docs].tobytes(), all_sizes[docs].tobytes(), count.tobytes(), h[cuts[b] : cuts[b + 1]].tobytes(), df[cuts[b] : cuts[b + 1]].tobytes()])
+                payload = b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), steps(all_ids[docs]), all_sizes[docs].tobytes(), count.tobytes(), h[cuts[b] : cuts[b + 1]].tobytes(), df[cuts[b] : cuts[b + 1]].tobytes()])
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
 
     return map_batches(columns, run, "block int, payload binary")
@@ -161,7 +179,7 @@ def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
         ids, sizes, counts, keys, often = [], [], [], [], []
         for raw in rows_by_task(batches):
             k, m = map(int, np.frombuffer(raw, np.int64, 2))
-            ids.append(np.frombuffer(raw, np.int64, k, 16))
+            ids.append(np.cumsum(np.frombuffer(raw, np.int64, k, 16)))
             sizes.append(np.frombuffer(raw, np.int32, k, 16 + 8 * k))
             counts.append(np.frombuffer(raw, np.int32, k, 16 + 12 * k))
             keys.append(np.frombuffer(raw, np.int64, m, 16 + 16 * k))
@@ -191,6 +209,18 @@ def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
     return map_batches(shared, run, "id long, n long, k int, h array<long>")
 
 
+def sparse_matrix(rows: DataFrame, n: int, percent: int, blocks: int) -> DataFrame:
+    """The sparse rows (see there) of ``rows(id, text)``, the text as bytes."""
+    shared = shared_entries(column_blocks(rows, n, blocks).repartition(blocks, "block"), blocks)
+    return sparse_rows(shared.repartition(blocks, "block"), percent)
+
+
+def first_columns(sets: DataFrame) -> DataFrame:
+    """``key, id, n, u``: the columns of ``sets(id, n, k, h)`` that linked rows must meet in."""
+    placed = sets.select(F.posexplode(F.slice("h", F.lit(1), F.col("k"))).alias("place", "key"), "id", "n", F.size("h").alias("shared"))
+    return placed.select("key", "id", "n", (F.col("shared") - F.col("place")).cast("long").alias("u"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, n_shingles, component_id`` of each row: the smallest id reachable by links, and the size of its set."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -199,14 +229,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: s
     classes = filled.groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
     known = stored(filled.join(classes, ["n", "p1", "p2"]).select("id", "n", "p1", "p2", "rep"))
     blocks = n_blocks(docs)
-    shared = shared_entries(column_blocks(rows, n, blocks).repartition(blocks, "block"), blocks)
-    sparse = sparse_rows(shared.repartition(blocks, "block"), percent)
+    sparse = sparse_matrix(rows, n, percent, blocks)
     # What several tasks sent of one class has equal columns: one row is enough, under the name of the class.
     named = sparse.join(known.select("id", "n", "rep").distinct(), ["id", "n"])
     one = named.groupBy("rep", "n").agg(F.min_by(F.struct("k", "h"), "id").alias("row"))
     sets = stored(one.select(F.col("rep").alias("id"), "n", "row.k", "row.h"))
-    postings = sets.select(F.posexplode(F.slice("h", F.lit(1), F.col("k"))).alias("place", "key"), "id", "n", "h").select("key", "id", "n", (F.size("h") - F.col("place")).cast("long").alias("u"))
-    found = linked_components(postings, sets, percent)
+    found = linked_components(first_columns(sets), sets, percent)
     out = known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = prints.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -12,6 +12,7 @@ table. Only the id and text columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import unicodedata
@@ -27,7 +28,7 @@ from millrace.llm.byte_bpe import read_vocabulary, unicode_spaces
 from millrace.llm.common import map_batches
 
 #: Counts that a Python worker remembers before it starts afresh, and symbols merged at a time.
-MEMO_LIMIT = 800_000
+MEMO_LIMIT = 400_000
 SYMBOLS_AT_ONCE = 1_000_000
 _COUNTERS: dict[str, WordBpeCounter] = {}
 
@@ -125,12 +126,16 @@ class WordBpeCounter:
         return [n + sum(map(memo.__getitem__, words)) for n, words in zip(extra, all_words, strict=True)]
 
 
-def counter(tokenizer_file: bytes) -> WordBpeCounter:
-    """One counter for each vocabulary and Python worker."""
+@contextlib.contextmanager
+def counter(tokenizer_file: bytes) -> Iterator[WordBpeCounter]:
+    """One counter for each vocabulary and Python worker, lent to a task; what it memoised goes with the task."""
     key = hashlib.sha256(tokenizer_file).hexdigest()
     if key not in _COUNTERS:
         _COUNTERS[key] = WordBpeCounter(tokenizer_file)
-    return _COUNTERS[key]
+    try:
+        yield _COUNTERS[key]
+    finally:
+        _COUNTERS[key].memo.clear()
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +143,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own.count([x or "" for x in batch.column(1).to_pylist()]), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        with counter(sent.value) as own:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own.count([x or "" for x in batch.column(1).to_pylist()]), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
