@@ -15,7 +15,9 @@ Only the id and text columns are read, so other columns can't clash.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches
 
-#: Encoded pre-tokens that a Python worker remembers before it starts afresh.
-MEMO_LIMIT = 400_000
+#: Encoded pre-tokens of each of the two generations that a Python worker remembers, and pairs of neighbours.
+MEMO_LIMIT, NEIGHBOURS_LIMIT = 120_000, 500_000
+NEVER = 1 << 60
 _CODECS: dict[str, ByteBpe] = {}
 
 
@@ -48,102 +51,186 @@ class ByteBpe:
                 token, rank = line.split()
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.split = regex.compile(unicode_spaces(pattern)).findall
-        self.memo: dict[str, tuple[int, str, bytes, bytes]] = {}
-        self.neighbours: dict[tuple[bytes, bytes], bool] = {}
-        self.shorter: dict[bytes, bytes | None] = {}
+        self.memo: dict[str, tuple[list[int], str, bytes]] = {}
+        self.older: dict[str, tuple[list[int], str, bytes]] = {}
+        self.neighbours: dict[int, bool] = {}
+        self.shorter: dict[int, int | None] = {}
+        self.edges: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
+        self.size: dict[int, int] = {}
         self.trie = ahocorasick.Automaton()
-        for token in self.ranks:
-            if len(token) == 1 or self.merged(token) == [token]:
-                self.trie.add_word(token.decode("latin-1"), len(token))
+        for token, rank in self.ranks.items():
+            if len(token) == 1 or self.merged(token) == [rank]:
+                self.trie.add_word(token.decode("latin-1"), rank)
+                self.size[rank] = len(token)
         self.trie.make_automaton()
 
-    def merged(self, piece: bytes) -> list[bytes]:
+    def merged(self, piece: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, until none is left. For short pieces."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(parts[k] + parts[k + 1], NEVER), k) for k in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return [self.ranks[x] for x in parts]
 
-    def may_follow(self, left: bytes, right: bytes) -> bool:
-        """Whether BPE of both together gives just these two."""
-        key = (left, right)
+    def last_pair(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts whose merge makes the token."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            _, i = min((self.ranks.get(parts[k] + parts[k + 1], NEVER), k) for k in range(len(parts) - 1))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts[0], parts[1]
+
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at the token's left (0) or right (1) end while it is merged, from a byte to the whole, each with the rank of the merge that takes it up."""
+        known = self.edges[side].get(token)
+        if known is None:
+            piece, until = self.bytes_of[token], NEVER
+            known = [(piece, until)]
+            while len(piece) > 1:
+                until = self.ranks[piece]
+                piece = self.last_pair(piece)[side]
+                known.append((piece, until))
+            known.reverse()
+            self.edges[side][token] = known
+        return known
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether BPE of both together gives just these two.
+
+        Merges come in order of rank, since a part's rank is below its whole's. So the two
+        ends are walked upwards in that order; if ever what stands left and right of the
+        border would merge before either is taken up (at equal ranks, the leftmost first),
+        the two can't be neighbours.
+        """
+        key = left << 32 | right
         known = self.neighbours.get(key)
         if known is None:
-            if len(self.neighbours) > MEMO_LIMIT:
+            if len(self.neighbours) > NEIGHBOURS_LIMIT:
                 self.neighbours.clear()
-            known = self.neighbours[key] = self.merged(left + right) == [left, right]
+            known = self.neighbours[key] = self._keep_apart(self.edge(left, 1), self.edge(right, 0))
         return known
 
-    def prefix_of(self, token: bytes) -> bytes | None:
+    def _keep_apart(self, lefts: list[tuple[bytes, int]], rights: list[tuple[bytes, int]]) -> bool:
+        ranks = self.ranks
+        i = j = 0
+        while True:
+            a, a_until = lefts[i]
+            b, b_until = rights[j]
+            rank = ranks.get(a + b, NEVER)
+            if rank < a_until and rank <= b_until and rank < NEVER:
+                return False
+            if a_until == b_until == NEVER:
+                return True
+            if a_until <= b_until:
+                i += 1
+            else:
+                j += 1
+
+    def prefix_of(self, token: int) -> int | None:
         """The longest shorter entry that the token begins with."""
         if token not in self.shorter:
-            text = token.decode("latin-1")
-            self.shorter[token] = next((token[:n] for n in range(len(token) - 1, 0, -1) if text[:n] in self.trie), None)
+            text = self.bytes_of[token].decode("latin-1")
+            self.shorter[token] = next((self.trie.get(text[:n]) for n in range(len(text) - 1, 0, -1) if text[:n] in self.trie), None)
         return self.shorter[token]
 
-    def pieces(self, piece: bytes) -> list[bytes]:
+    def pieces(self, piece: bytes) -> list[int]:
         """The BPE tokens of one pre-token."""
-        if piece in self.ranks:
-            return [piece]
-        longest = [1] * len(piece)
-        for end, size in self.trie.iter(piece.decode("latin-1")):
-            start = end + 1 - size
-            if size > longest[start]:
-                longest[start] = size
-        out: list[bytes] = []
-        open_at = bytearray(b"\1") * (len(piece) + 1)
-        at, token = 0, piece[: longest[0]]
-        while at < len(piece):
-            candidate: bytes | None = token
-            while candidate is not None and not (open_at[at + len(candidate)] and (not out or self.may_follow(out[-1], candidate))):
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        text = piece.decode("latin-1")
+        size, neighbours = self.size, self.neighbours
+        # Most often the greedy row of longest matches already is the encoding: then one pass over those is enough.
+        out: list[int] = []
+        last = None
+        for _, token in self.trie.iter_long(text):
+            if last is not None:
+                known = neighbours.get(last << 32 | token)
+                if not (self.may_follow(last, token) if known is None else known):
+                    break
+            out.append(token)
+            last = token
+        else:
+            if sum([size[x] for x in out]) == len(piece):
+                return out
+        return self.backtracked(text)
+
+    def backtracked(self, text: str) -> list[int]:
+        """The tokens of a pre-token by longest matches, stepping to shorter ones and back where neighbours don't agree."""
+        size, may_follow = self.size, self.may_follow
+        n = len(text)
+        longest: list = [None] * n
+        for end, token in self.trie.iter(text):
+            longest[end + 1 - size[token]] = token  # of one start, longer ones end later
+        out: list[int] = []
+        closed: set[int] = set()
+        at, last, token = 0, None, longest[0]
+        while True:
+            candidate: int | None = token
+            while candidate is not None:
+                end = at + size[candidate]
+                if end not in closed and (last is None or may_follow(last, candidate)):
+                    break
                 candidate = self.prefix_of(candidate)
             if candidate is not None:
                 out.append(candidate)
-                at += len(candidate)
-                token = piece[at : at + longest[at]] if at < len(piece) else b""
+                if end == n:
+                    return out
+                at, last, token = end, candidate, longest[end]
             else:
-                open_at[at] = 0
+                closed.add(at)
                 token = out.pop()
-                at -= len(token)
-        return out
-
-    def look_up(self, word: str) -> tuple[int, str, bytes, bytes]:
-        """Of a pre-token: number of ids, the ids joined by commas, the bytes that the ids decode to, and the ids as 32-bit numbers."""
-        ids = [self.ranks[x] for x in self.pieces(word.encode("utf-8"))]
-        if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        found = self.memo[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids), np.array(ids, np.int32).tobytes())
+                at -= size[token]
+                last = out[-1] if out else None
+
+    def forget(self) -> None:
+        """Drop what was memoised: a kept worker's next task may be of another kind and need the room."""
+        self.memo.clear()
+        self.older.clear()
+        self.neighbours.clear()
+        self.shorter.clear()
+
+    def look_up(self, word: str) -> tuple[list[int], str, bytes]:
+        """Of a pre-token: the ids, the ids joined by commas, and the bytes that the ids decode to."""
+        found = self.older.get(word)
+        if found is None:
+            ids = self.pieces(word.encode("utf-8"))
+            found = (ids, ",".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]))
+        if len(self.memo) >= MEMO_LIMIT:  # words that were used since the last time live on
+            self.older, self.memo = self.memo, {}
+        self.memo[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
-
-    def packed(self, text: str) -> bytes:
-        """The ids as 32-bit numbers."""
-        memo = self.memo
-        return b"".join([(memo.get(word) or self.look_up(word))[3] for word in self.split(text)])
+        out: list[int] = []
+        for word in self.split(text):
+            out += (self.memo.get(word) or self.look_up(word))[0]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes."""
-        memo = self.memo
-        found = [memo.get(word) or self.look_up(word) for word in self.split(text)]
-        ids = hashlib.sha256(",".join([x[1] for x in found]).encode())
-        return sum([x[0] for x in found]), ids.hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()
+        found = [self.memo.get(word) or self.look_up(word) for word in self.split(text)]
+        ids = ",".join([x[1] for x in found])
+        return ids.count(",") + bool(found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()
 
 
-def codec(rank_file: bytes, pattern: str) -> ByteBpe:
-    """One codec for each vocabulary and Python worker."""
+@contextlib.contextmanager
+def codec(rank_file: bytes, pattern: str) -> Iterator[ByteBpe]:
+    """One codec for each vocabulary and Python worker, lent to a task."""
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(rank_file, pattern)
-    return _CODECS[key]
+    try:
+        yield _CODECS[key]
+    finally:
+        _CODECS[key].forget()
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -157,11 +244,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(sent.value, pattern)
-        for batch in batches:
-            rows = [bpe.packed(x or "") for x in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["id", "ids"])
+        with codec(sent.value, pattern) as bpe:
+            for batch in batches:
+                rows = [array("i", bpe.encode(x or "")) for x in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x.tobytes() for x in rows]), np.int32)))], ["id", "ids"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -171,9 +258,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     sent = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(sent.value, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+        with codec(sent.value, pattern) as bpe:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return map_batches(encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")), run, "id long, text string").withColumnRenamed("id", id_col)
 
@@ -183,12 +270,12 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(sent.value, pattern)
-        for batch in batches:
-            rows = [bpe.digest(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with codec(sent.value, pattern) as bpe:
+            for batch in batches:
+                rows = [bpe.digest(x or "") for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

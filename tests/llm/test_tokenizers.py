@@ -47,8 +47,15 @@ def test_hard_cases():
 def test_every_vocabulary_entry():
     random.seed(5)
     for token in random.sample(list(BPE.ranks), 3000):
-        assert BPE.pieces(token) == [token]
-        assert BPE.ranks[BPE.merged(token)[0]] == BPE.ranks[token] if BPE.merged(token) == [token] else True
+        assert BPE.pieces(token) == [BPE.ranks[token]]
+
+
+def test_neighbours_equal_the_definition():
+    random.seed(6)
+    ids = [i for i in BPE.size if BPE.size[i] <= 4]
+    for _ in range(20_000):
+        a, b = random.choice(ids), random.choice(ids)
+        assert BPE.may_follow(a, b) == (BPE.merged(BPE.bytes_of[a] + BPE.bytes_of[b]) == [a, b])
 
 
 def test_queries(spark):
