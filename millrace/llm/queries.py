@@ -126,5 +126,21 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN txt ELSE '' END, '' ORDER BY turn, role, txt)) AS loss_sha256,
   CAST(sum(length('### ' || esc_role || ': ' || esc || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op9_substring_dedup": r"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, k AS para, ls[k + 1] AS line FROM (SELECT doc_id, string_split("text", chr(10)) AS ls FROM documents WHERE "text" IS NOT NULL), unnest(range(len(ls))) AS u(k)
+), p AS (
+  SELECT doc_id * 1000000 + para AS id, doc_id, para, len(ws) AS n_words, ws, CAST(coalesce(sum(length(line) + 1) OVER w, 0) AS INTEGER) AS start, length(line) AS size
+  FROM (SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM lines)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM p, unnest(range(1, len(ws) - 3)) AS u(i) WHERE n_words >= 25
+), n AS (SELECT id, count(*) AS n FROM s GROUP BY id
+), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL
+), l AS (SELECT a, b FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), k AS (SELECT a AS id, least(a, min(b)) AS keep FROM r GROUP BY a)
+SELECT doc_id, CAST(para AS INTEGER) AS para, start, CAST(start + size AS INTEGER) AS "end", CAST(n_words AS INTEGER) AS n_words, keep // 1000000 AS keep_doc_id, CAST(keep % 1000000 AS INTEGER) AS keep_para, keep <> id AS removed
+FROM p JOIN k USING (id)
 """,
 }
