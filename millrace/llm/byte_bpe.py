@@ -31,6 +31,8 @@ from millrace.llm.common import map_batches
 
 #: Encoded pre-tokens of each of the two generations that a Python worker remembers, and pairs of neighbours.
 MEMO_LIMIT, NEIGHBOURS_LIMIT = 120_000, 500_000
+#: The same where encoding is all that a session does.
+MEMO_LIMIT_ALONE = 300_000
 NEVER = 1 << 60
 _CODECS: dict[str, ByteBpe] = {}
 
@@ -53,6 +55,7 @@ class ByteBpe:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.split = regex.compile(unicode_spaces(pattern)).findall
+        self.memo_limit = MEMO_LIMIT
         self.memo: dict[str, tuple[list[int], str, bytes]] = {}
         self.older: dict[str, tuple[list[int], str, bytes]] = {}
         self.neighbours: dict[int, bool] = {}
@@ -200,7 +203,7 @@ class ByteBpe:
         if found is None:
             ids = self.pieces(word.encode("utf-8"))
             found = (ids, ",".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]))
-        if len(self.memo) >= MEMO_LIMIT:  # words that were used since the last time live on
+        if len(self.memo) >= self.memo_limit:  # words that were used since the last time live on
             self.older, self.memo = self.memo, {}
         self.memo[word] = found
         return found
@@ -222,11 +225,12 @@ class ByteBpe:
 
 
 @contextlib.contextmanager
-def codec(rank_file: bytes, pattern: str) -> Iterator[ByteBpe]:
+def codec(rank_file: bytes, pattern: str, memo_limit: int = MEMO_LIMIT) -> Iterator[ByteBpe]:
     """One codec for each vocabulary and Python worker, lent to a task."""
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(rank_file, pattern)
+    _CODECS[key].memo_limit = memo_limit
     try:
         yield _CODECS[key]
     finally:
@@ -265,12 +269,12 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return map_batches(encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")), run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, memo_limit: int = MEMO_LIMIT_ALONE) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, without shipping the ids themselves."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with codec(sent.value, pattern) as bpe:
+        with codec(sent.value, pattern, memo_limit) as bpe:
             for batch in batches:
                 rows = [bpe.digest(x or "") for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
