@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, quality, substring_dedup, token_counts
+from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, quality, shared_runs, substring_dedup, token_counts
 from millrace.llm.common import load
 
 
@@ -67,6 +67,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(load(spark, sf_dir, "documents"))
 
 
+def op9_shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_runs.repeated_runs(load(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(load(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op9_shared_runs": op9_shared_runs,
     "op10_fingerprints": op10_fingerprints,
 }
 

@@ -5,6 +5,8 @@ Paragraphs with equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum ha
 a shape with a recall of 0.999998 at a similarity of 0.75, tell which classes collide;
 an exact join of these links those whose Jaccard similarity is 0.75 or more; components are clusters. Of each
 cluster the occurrence first in (document, paragraph) stays and all others are removals.
+Runs of words that are repeated inside other lines, or over several, are ``shared_runs``'s;
+``remove_passages`` removes both.
 
 Defined results: null texts have no paragraphs; shorter paragraphs are left alone; texts of any
 length are read whole; repeated paragraphs within a document count as any others;
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_batches, n_blocks, stored
 from millrace.llm.components import linked_components
 from millrace.llm.ngram_join import first_columns, sparse_matrix
+from millrace.llm.shared_runs import without_shared_runs
 from millrace.llm.text_arrays import mixed, set_print, shingle_sets
 
 MIN_WORDS, PERCENT, SHINGLE = 25, 75, 5
@@ -135,10 +138,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
 
 
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removals, line breaks included; all columns stay."""
+    """``docs`` without the removals, line breaks included, and then without the runs of words that what is left has before; all columns stay."""
     gone = repeated_passages(docs, min_words, PERCENT, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"))
     gone = stored(gone)
     joined = docs.join(gone, docs[id_col] == gone["doc_id"], "left").select(*[docs[c] for c in docs.columns], F.col("__gone"))
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, k: ~F.coalesce(F.array_contains("__gone", k), F.lit(False))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    lines_gone = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    return without_shared_runs(lines_gone, id_col=id_col, text_col=text_col)
