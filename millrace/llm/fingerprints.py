@@ -3,7 +3,8 @@
 First, all documents: how often each level of entropy occurs among all windows of
 ``WINDOW`` bytes. A window's rank is how frequent its level is; rare ranks are improbable.
 Then, each text: in every run of ``SPAN`` windows the leftmost one of the lowest rank gets
-a vote, windows with at least ``VOTES`` votes (any, in texts with fewer than ``SHORT`` runs) are features, and each different feature
+a vote, windows with at least ``VOTES`` votes (any, in texts with fewer than ``SHORT`` runs) are features, as is the choice of a
+run that has no such window, so each run of ``SPAN`` windows has one. Each different feature
 sets ``HASHES`` bits in the current filter of ``FILTER_BITS`` bits; after ``PER_FILTER``
 features a new filter begins. Two fingerprints are compared by the bits that their filters
 share beyond chance, as a part of the most that they could share.
@@ -107,7 +108,12 @@ def feature_hashes(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         low = np.minimum(low[:-step], low[step:])
         width += step
     votes = np.bincount(low & ((1 << 40) - 1), minlength=len(key))
-    places = np.flatnonzero(votes >= (VOTES if len(low) >= SHORT else 1))
+    low &= (1 << 40) - 1
+    chosen = votes >= (VOTES if len(low) >= SHORT else 1)
+    # A run without such a window (of a period below VOTES, or of one level) has its own choice.
+    before = np.append(0, np.cumsum(chosen))
+    chosen[low[before[span:] == before[:-span]]] = True
+    places = np.flatnonzero(chosen)
     windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[places]
     halves = np.ascontiguousarray(windows).view("<u8")
     h = mixed(mixed(halves[:, 0]) + halves[:, 1])
