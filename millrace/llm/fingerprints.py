@@ -3,9 +3,9 @@
 First, all documents: how often each level of entropy occurs among all windows of
 ``WINDOW`` bytes. A window's rank is how frequent its level is; rare ranks are improbable.
 Then, each text: in every run of ``SPAN`` windows the leftmost one of the lowest rank gets
-a vote, windows with at least ``VOTES`` votes (any, in texts with fewer than ``SHORT`` runs) are features, as is the choice of a
-run that has no such window, so each run of ``SPAN`` windows has one. Each different feature
-sets ``HASHES`` bits in the current filter of ``FILTER_BITS`` bits; after ``PER_FILTER``
+a vote, windows with at least ``VOTES`` votes are features, as is the choice of a run that
+has no such window, so each run has one in texts of any length. Each different feature sets
+``HASHES`` bits in the current filter of ``FILTER_BITS`` bits; after ``PER_FILTER``
 features a new filter begins. Two fingerprints are compared by the bits that their filters
 share beyond chance, as a part of the most that they could share.
 
@@ -33,8 +33,6 @@ from millrace.llm.common import map_batches, n_blocks
 from millrace.llm.text_arrays import mixed
 
 WINDOW, SPAN, VOTES = 16, 24, 6
-#: A text with fewer runs of windows keeps each window that has any vote.
-SHORT = 256
 LEVELS = 1000
 FILTER_BITS, PER_FILTER, HASHES = 2048, 128, 5
 #: Bytes whose windows are worked on at a time.
@@ -109,7 +107,7 @@ def feature_hashes(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         width += step
     votes = np.bincount(low & ((1 << 40) - 1), minlength=len(key))
     low &= (1 << 40) - 1
-    chosen = votes >= (VOTES if len(low) >= SHORT else 1)
+    chosen = votes >= VOTES
     # A run without such a window (of a period below VOTES, or of one level) has its own choice.
     before = np.append(0, np.cumsum(chosen))
     chosen[low[before[span:] == before[:-span]]] = True
@@ -149,7 +147,9 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
         shared = np.bitwise_count(b.filters & own).sum(axis=1)
         chance = weight * b.weights / FILTER_BITS
         most = np.minimum(weight, b.weights)
-        score = np.where(most > chance, (shared - chance) / np.maximum(most - chance, 1e-9), shared == most)
+        score = np.where(most > chance, (shared - chance) / np.maximum(most - chance, 1e-9), shared == most).astype(np.float64)
+        # Fewer bits beyond chance than a single shared feature brings aren't a match.
+        score[shared - chance < np.minimum(HASHES, most) * (1 - b.weights / FILTER_BITS) - 1e-9] = 0.0
         total += size * max(0.0, float(score.max()))
     return min(1.0, total / sum(a.sizes))
 

@@ -31,3 +31,12 @@ def test_every_run_has_a_feature(text):
     own = fingerprints.mixed(fingerprints.mixed(halves[:, 0]) + halves[:, 1]).tolist()
     span = min(SPAN, len(own))
     assert all(features & set(own[k : k + span]) for k in range(len(own) - span + 1))
+
+
+def test_one_rule_at_all_lengths():
+    for seed in range(20):
+        text = prose(seed, 100).encode()
+        for n in (292, 293, 294, 295):
+            own, longer = (set(feature_hashes(np.frombuffer(text[:k], np.uint8), RANKS).tolist()) for k in (n, n + 1))
+            # One more byte is one more window: only the last runs may choose anew.
+            assert len(own ^ longer) <= 3, (seed, n)
