@@ -6,14 +6,14 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import os
-import re
-import tempfile
-import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.sources.files import shared_folder
 
 #: Arrow batches stay this small, so that a Python worker's memory doesn't follow the length of the texts.
 BATCH_ROWS = 2_000
@@ -54,34 +54,65 @@ def give_back_memory() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder for a written table, below spark.checkpoint.dir (set here only where it is unset on a single machine, as in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"millrace-{uuid.uuid4().hex}")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Where the tables that ``stored`` has written lie.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     It cuts the lineage, survives a lost executor, and gives the planner true sizes. The
-    folder goes when the driver's Python ends in the usual way.
+    folder goes when the driver's Python ends in the usual way, or earlier by ``forget``.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = shared_folder(spark)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read any more."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            _remove(table.sparkSession, path)
+
+
+def with_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``__row``, a number that names a row in every job that reads it.
+
+    It is the id where all rows have different ids. Otherwise the rows are numbered once and
+    stored: numbers given anew by each job would follow how that job splits the files.
+    """
+    own = F.col(id_col).cast("long")
+    again = docs.select(own.alias("i")).groupBy("i").agg(F.count("*").alias("rows")).where("i is null or rows > 1")
+    if again.limit(1).count():
+        return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return docs.withColumn("__row", own)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
+    """``rows.join(table, keys)`` for a stored ``table`` of one row a key that says how many ``rows`` have it.
+
+    Keys with more than a quarter of a partition's fair share, of which there are fewer than
+    four for each partition, meet their rows on the map side; only the others are shuffled.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    share = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = F.broadcast(table.where(F.col(size) > share).drop(size)) if share else None
+    light = table.where(F.col(size) <= share).drop(size) if share else table.drop(size)
+    if heavy is None:
+        return rows.join(light, keys)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(light, keys))
 
 
 def n_blocks(docs: DataFrame) -> int:

@@ -5,22 +5,69 @@ their Jaccard similarity reaches a bound, given postings such that linked sets s
 A posting says how many members of its set may still be shared where its key is the first
 shared one; with the sizes this bounds every overlap before any members are compared, and
 drops postings that no other of their list can meet. In each round every key's list picks
-a pivot, the set with the largest part that may be shared; it is compared with those that
-are not yet in its component, and leaves the list. A group of g copies thus costs about g
-comparisons, not g * g. Only pairs that already are in one component, or that the bounds
-rule out, are left out, so no component is missed. When the pairs left to look at are in
-proportion to the postings, they are looked at at once.
+pivots, the sets with the largest part that may be shared; they are compared with those
+that are not yet in their component, and leave the list. A group of g copies thus costs
+about g comparisons, not g * g. Only pairs that already are in one component, or that the
+bounds rule out, are left out, so no component is missed. The pivots of a list grow from
+round to round, but never beyond ``PIVOTS``; rounds go on until no list has anything open.
+
+Overlaps are entries of the product of the sets' incidence matrix with its transpose, and
+only those that pivots ask for are computed: the columns are cut into blocks, each pair's
+blocks meet, and their counts are accumulated.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import forget, spread_join, stored
+
+#: Pivots of a list, by round; the last number is for all rounds after.
+PIVOTS = (1, 1, 4, 16, 64)
+#: Columns of a set that stand in one row, about.
+BLOCK_COLUMNS = 1024
+
+
+def blocks_of(n: int) -> int:
+    """Into how many blocks the columns of a set of that size are cut: a power of two."""
+    return 1 << ((n - 1) // BLOCK_COLUMNS).bit_length()
+
+
+def _blocks_of(n: Column) -> Column:
+    above = F.floor((n - 1) / BLOCK_COLUMNS).cast("long")
+    return F.when(above > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(above)))).otherwise(F.lit(1).cast("long"))
+
+
+def column_blocks_of(columns: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Blocks, block and columns of a set of size n: cut in as many as its size asks for, and, to meet sets of half as many blocks, in half as many."""
+    blocks = blocks_of(n)
+    if blocks == 1:
+        yield 1, 0, columns
+        return
+    own = columns.astype(np.uint64) & np.uint64(blocks - 1)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(blocks + 1))
+    for k in range(blocks):
+        part = columns[order[cuts[k] : cuts[k + 1]]]
+        if len(part):
+            yield blocks, k, part
+            yield blocks // 2, k % (blocks // 2), part
+
 
-#: Rounds with pivots at least and at most, and the pairs for each posting that may be looked at at once.
-LEAST_ROUNDS, MAX_ROUNDS, AT_ONCE = 2, 24, 512
+SET_ROWS = "id long, n long, blocks long, block long, h array<long>"
+
+
+def set_rows(ids: list[int], sizes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``SET_ROWS`` for sets of columns."""
+    found = [(i, n, *x) for i, n, h in zip(ids, sizes, sets, strict=True) for x in column_blocks_of(h, n)]
+    columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([x[4].view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "n", "blocks", "block", "h"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,12 +76,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("size")))
+        large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
+        # After the large stars every id has few smaller neighbours.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small)
+        before, now = now, stored(small)
+        forget(before, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -43,64 +92,83 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(heads)
 
 
+def with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The stored components ``labels(id, component)`` after new ``links(a, b)``: only the components that these join are looked at."""
+    if labels is None:
+        return stored(connected_components(links))
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_2"))
+    heads = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_2", "a").alias("a"), F.coalesce("b_2", "b").alias("b"))
+    moved = stored(connected_components(heads).select(F.col("id").alias("component"), F.col("component").alias("to")))
+    sizes = known.groupBy("component").agg(F.count("*").alias("size"))
+    table = stored(sizes.join(moved, "component", "left").select("component", F.coalesce("to", "component").alias("to"), "size"))
+    out = stored(spread_join(known, table, ["component"]).select("id", F.col("to").alias("component")))
+    forget(moved, table)
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose sets are linked: 100 * intersection >= percent * union. ``sets(id, n, h)``: h may leave out members that no other set has."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    most = F.least(F.size("ha"), F.size("hb"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    met = pairs.join(left, "a").join(right, "b")
-    # Sizes bound the overlap from above: pairs that can't reach the similarity are dropped before their members are compared.
-    met = met.where(100 * most >= percent * (F.col("na") + F.col("nb") - most))
-    return met.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    """Of ``pairs(a, b, na, nb)``, na and nb the sizes, those whose sets are linked: 100 * intersection >= percent * union, above 50 per cent.
+
+    ``sets``: see ``SET_ROWS``; h may leave out members that no other set has.
+    """
+    if percent <= 50:
+        raise ValueError("sets that differ by more than half in size aren't cut alike")
+    asked = pairs.withColumn("blocks", _blocks_of(F.least("na", "nb")))
+    left = sets.select(F.col("id").alias("a"), "blocks", "block", F.col("h").alias("ha"))
+    right = sets.select(F.col("id").alias("b"), "blocks", "block", F.col("h").alias("hb"))
+    met = asked.join(left, ["a", "blocks"]).join(right, ["b", "blocks", "block"])
+    shared = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
+    total = shared.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
 def linked_components(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``id, component`` of the ids that are linked with any other.
 
     ``postings(key, id, n, u)`` must give linked sets a common key; with that as the first common
-    one no more than u members are shared. ``sets(id, n, h)`` as in ``verified``.
+    one no more than u members are shared. ``sets`` as in ``verified``.
     """
     # 100 * o >= percent * (a + b - o) with o <= u says: the other's size is at most u * (100 + percent) / percent - n.
     room = F.floor(F.col("u") * (100 + percent) / percent) - F.col("n")
     lists = stored(postings.select("key", "id", F.col("n").cast("long").alias("n"), "u").groupBy("key", "id", "n").agg(F.max("u").alias("u")).withColumn("room", room.cast("long")))
-    at_once = AT_ONCE * lists.count()
-    links = None
     labels = None
+    done: list[DataFrame] = [lists]
 
     def may_link(n: Column, room_of_n: Column, m: Column, room_of_m: Column) -> Column:
         return (100 * n >= percent * m) & (100 * m >= percent * n) & (m <= room_of_n) & (n <= room_of_m)
 
-    for k in range(MAX_ROUNDS + 1):
+    for k in itertools.count():
         if labels is None:
             marked = lists.withColumn("label", F.col("id"))
         else:
             marked = lists.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         # A list whose members are all in one component has nothing more to say, nor has a member that is too large or has too little room for all others.
-        ends = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("room").alias("most")).where("lo <> hi").select("key", "least", "most")
-        marked = marked.join(ends, "key").where("room >= least and n <= most").drop("least", "most")
-        pivot = F.max(F.struct((F.col("u") / F.col("n")).alias("x"), F.xxhash64("id", F.lit(k)).alias("y"), *[F.col(c).alias(c) for c in ("id", "n", "room", "label")]))
-        marked = stored(marked)
-        still_open = marked.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("p")).where("lo <> hi").select("key", "size", "p")
-        marked = stored(marked.join(still_open, "key"))
-        total = marked.agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("double")).alias("pairs"), F.max("size").alias("largest")).first()
-        if not total["rows"]:
+        ends = [F.min("label").alias("lo"), F.max("label").alias("hi")]
+        keys = stored(marked.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("room").alias("most"), *ends).where("lo <> hi").drop("lo", "hi"))
+        here = stored(spread_join(marked, keys, ["key"]).where("room >= least and n <= most").select("key", "id", "n", "u", "room", "label"))
+        forget(keys, *done)
+        some = PIVOTS[min(k, len(PIVOTS) - 1)]
+        best = F.max(F.struct((F.col("u") / F.col("n")).alias("x"), F.xxhash64("id", F.lit(k)).alias("y"), *[F.col(c).alias(c) for c in ("id", "n", "room", "label")])).alias("p")
+        picked = here.groupBy("key", F.pmod(F.xxhash64("id", F.lit(k)), F.lit(some)).alias("part")).agg(best, F.count("*").alias("size"), *ends)
+        picked = stored(picked.groupBy("key").agg(F.collect_list("p").alias("pivots"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").drop("lo", "hi"))
+        if not picked.limit(1).count():
+            forget(here, picked)
             break
-        last = k == MAX_ROUNDS or (total["pairs"] <= at_once and (k >= LEAST_ROUNDS or total["largest"] <= 3))
-        if last:
-            other = marked.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "room", "label")])
-            both = marked.join(other, "key").where((F.col("id") < F.col("id_2")) & (F.col("label") != F.col("label_2")) & may_link(F.col("n"), F.col("room"), F.col("n_2"), F.col("room_2")))
-            pairs = both.select(F.col("id").alias("a"), F.col("id_2").alias("b"))
-        else:
-            met = marked.where((F.col("label") != F.col("p.label")) & may_link(F.col("n"), F.col("room"), F.col("p.n"), F.col("p.room")))
-            pairs = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        new = stored(verified(pairs.distinct(), sets, percent))
+        open_lists = spread_join(here, picked, ["key"])
+        p = F.col("p")
+        met = open_lists.withColumn("p", F.explode("pivots")).where((F.col("label") != p["label"]) & may_link(F.col("n"), F.col("room"), p["n"], p["room"]))
+        first = F.col("id") < p["id"]
+        pairs = met.select(F.least("id", p["id"]).alias("a"), F.greatest("id", p["id"]).alias("b"), F.when(first, F.col("n")).otherwise(p["n"]).alias("na"), F.when(first, p["n"]).otherwise(F.col("n")).alias("nb")).distinct()
+        new = stored(verified(pairs, sets, percent))
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = connected_components(links)
-        if last:
-            break
-        lists = marked.where(F.col("id") != F.col("p.id")).select("key", "id", "n", "u", "room")
+            before, labels = labels, with_links(labels, new)
+            if before is not None:
+                forget(before)
+        forget(new)
+        lists = open_lists.where(~F.exists("pivots", lambda x: x["id"] == F.col("id"))).select("key", "id", "n", "u", "room")
+        done = [here, picked]
     if labels is None:
         return sets.sparkSession.createDataFrame([], "id long, component long")
     return labels

@@ -13,17 +13,22 @@ discard rows and pairs:
 * where the first shared n-gram stands at place p of a document's ``shared``, no more than
   ``shared - p`` can be common, which must suffice for both.
 
-Overlap counts are accumulated for the pairs that are left. Equal sets are one class from
-the start, and each task sends a class's columns once, however many copies it sees.
+Of the product of the matrix with its transpose, the entries that are left are computed
+block by block: each pair's counts of common columns are accumulated over blocks of columns
+(see ``components``). Equal sets are one class from the start, and each task sends a class's
+columns once, however many copies it sees.
 
 Defined results: a null text and one without words have an empty set, link with nothing
-and are their own component; a null id reaches nothing and has a null component unless it
-is linked; repeated rows stay and are copies of each other; an empty table gives an empty
-table. Only the id and text columns are read, so other columns can't clash.
+and are their own component; a row without an id is linked like any other, and its component
+is the smallest id that it reaches, or null where there is none; repeated rows, and rows of
+equal ids, stay and are told apart by their number; an empty table gives an empty table. Only
+the id and text columns are read, so other columns can't clash (names that begin with two
+underscores are the operator's own).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, n_blocks, stored
-from millrace.llm.components import linked_components
+from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
+from millrace.llm.components import BLOCK_COLUMNS, column_blocks_of, linked_components
 from millrace.llm.text_arrays import set_print, shingle_sets
 
 #: Entries that a task gathers before it sends blocks, and sorts at a time; classes it remembers.
@@ -42,15 +47,15 @@ COLUMN_BYTES = 6
 
 
 def set_prints(rows: DataFrame, n: int) -> DataFrame:
-    """``id, n, p1, p2`` of each row: the size of its set and what stands for it."""
+    """``id, row, n, p1, p2`` of ``rows(id, row, text)``: the size of each set and what stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([x or b"" for x in batch.column(1).to_pylist()], n)
+            sets = shingle_sets([x or b"" for x in batch.column(2).to_pylist()], n)
             prints = [set_print(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64())], ["id", "n", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64())], ["id", "row", "n", "p1", "p2"])
 
-    return map_batches(rows, run, "id long, n long, p1 long, p2 long")
+    return map_batches(rows, run, "id long, row long, n long, p1 long, p2 long")
 
 
 def rows_by_task(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -100,7 +105,7 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), shingle_sets([x or b"" for x in batch.column(1).to_pylist()], n), strict=True):
                 key = (len(x), *set_print(x))
-                if len(x) and i is not None and key not in seen:
+                if len(x) and key not in seen:
                     if len(seen) >= SEEN_LIMIT:
                         seen.clear()
                     seen.add(key)
@@ -172,8 +177,20 @@ def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
     return map_batches(columns, run, "block int, payload binary")
 
 
+#: A row of the matrix, in parts: ``at`` and ``first`` hold the columns, ordered from rare to frequent, that linked rows must meet in; ``blocks, block, h`` all columns (see ``components``).
+SPARSE = "id long, part long, n long, shared long, at long, first array<long>, blocks long, block long, h array<long>"
+
+
 def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
-    """``id, n, k, h`` of the documents that enough shared columns are left of; h is ordered from rare to frequent and the first k must meet."""
+    """The rows, as ``SPARSE``, of the documents that enough shared columns are left of."""
+    names = [x.split(" ")[0] for x in SPARSE.split(", ")]
+    kinds = [pa.list_(pa.int64()) if x in ("first", "h") else pa.int64() for x in names]
+
+    def parts_of(i: int, n: int, h: np.ndarray) -> Iterator[tuple]:
+        must = h[: len(h) - -(-percent * n // 100) + 1]
+        firsts = [(at, must[at : at + BLOCK_COLUMNS]) for at in range(0, len(must), BLOCK_COLUMNS)]
+        for part, (first, block) in enumerate(itertools.zip_longest(firsts, column_blocks_of(h, n), fillvalue=(None, None))):
+            yield (i, part, n, len(h), *first, *(block if block[0] is not None else (None, None, None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, counts, keys, often = [], [], [], [], []
@@ -186,12 +203,11 @@ def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
             often.append(np.frombuffer(raw, np.uint8, m, 16 + 16 * k + 8 * m))
         if not ids:
             return
-        row_ids, row_sizes, row_counts = np.concatenate(ids), np.concatenate(sizes), np.concatenate(counts)
-        # Documents with equal ids but of different sizes stay apart.
-        docs, of = np.unique(np.stack([row_ids, row_sizes.astype(np.int64)]), axis=1, return_inverse=True)
-        of = of.reshape(-1)
-        total = np.bincount(of, weights=row_counts, minlength=docs.shape[1])
-        dense = 100 * total >= percent * docs[1]
+        row_counts = np.concatenate(counts)
+        docs, at, of = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+        n = np.concatenate(sizes)[at].astype(np.int64)
+        total = np.bincount(of, weights=row_counts, minlength=len(docs))
+        dense = 100 * total >= percent * n
         owner = np.repeat(of, row_counts)
         keep = dense[owner]
         owner, h, df = owner[keep], np.concatenate(keys)[keep], np.concatenate(often)[keep]
@@ -199,58 +215,66 @@ def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
         owner, h = owner[order], h[order]
         which = np.flatnonzero(dense)
         starts, ends = np.searchsorted(owner, which), np.searchsorted(owner, which, "right")
-        for at in range(0, len(which), 2_000):
-            part = slice(at, at + 2_000)
-            sets = [h[a:b] for a, b in zip(starts[part], ends[part], strict=True)]
-            n = docs[1][which[part]]
-            k = np.array([len(x) for x in sets], np.int64) - -(-percent * n // 100) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(docs[0][which[part]]), pa.array(n), pa.array(k.astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "k", "h"])
+        found: list[tuple] = []
+        size = 0
+        for w, a, b in zip(which.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            for x in parts_of(int(docs[w]), int(n[w]), h[a:b]):
+                found.append(x)
+                size += len(names) + sum(len(y) for y in (x[5], x[8]) if y is not None)
+                if size >= SORT_ENTRIES:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(len(names))], names)
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(len(names))], names)
 
-    return map_batches(shared, run, "id long, n long, k int, h array<long>")
+    return map_batches(shared, run, SPARSE)
 
 
 def sparse_matrix(rows: DataFrame, n: int, percent: int, blocks: int) -> DataFrame:
-    """The sparse rows (see there) of ``rows(id, text)``, the text as bytes."""
+    """The sparse rows of ``rows(row, text)``, the text as bytes."""
     shared = shared_entries(column_blocks(rows, n, blocks).repartition(blocks, "block"), blocks)
     return sparse_rows(shared.repartition(blocks, "block"), percent)
 
 
 def first_columns(sets: DataFrame) -> DataFrame:
-    """``key, id, n, u``: the columns of ``sets(id, n, k, h)`` that linked rows must meet in."""
-    placed = sets.select(F.posexplode(F.slice("h", F.lit(1), F.col("k"))).alias("place", "key"), "id", "n", F.size("h").alias("shared"))
-    return placed.select("key", "id", "n", (F.col("shared") - F.col("place")).cast("long").alias("u"))
+    """``key, id, n, u``: the columns of sparse rows that linked rows must meet in."""
+    placed = sets.select(F.posexplode("first").alias("place", "key"), "id", "n", "shared", "at")
+    return placed.select("key", "id", "n", (F.col("shared") - F.col("at") - F.col("place")).cast("long").alias("u"))
+
+
+def joined_components(docs: DataFrame, percent: int, n: int, text_col: str) -> DataFrame:
+    """``id, row, n, component_id, keep`` of ``docs`` with ``__row`` and ``__id``: the smallest id that a row reaches and, of the rows that it reaches, the one of the smallest id."""
+    text = F.col(text_col).cast("string").cast("binary").alias("text")
+    prints = stored(set_prints(docs.select(F.col("__id").alias("id"), F.col("__row").alias("row"), text), n))
+    filled = prints.where("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    classes = stored(filled.groupBy("n", "p1", "p2").agg(F.min("row").alias("rep"), first.alias("first"), F.count("*").alias("size")))
+    sparse = sparse_matrix(docs.select(F.col("__row").alias("row"), text), n, percent, n_blocks(docs))
+    # What several tasks sent of one class has equal parts: one of each is enough, under the name of the class.
+    named = sparse.join(filled.select(F.col("row").alias("id"), "p1", "p2"), "id").join(classes.select("n", "p1", "p2", "rep"), ["n", "p1", "p2"])
+    sets = stored(named.drop("id", "p1", "p2").withColumnRenamed("rep", "id").dropDuplicates(["id", "part"]))
+    found = linked_components(first_columns(sets), sets.where("h is not null"), percent)
+    forget(sets)
+    joined = stored(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    heads = stored(joined.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("size")))
+    named = stored(spread_join(joined.withColumnRenamed("size", "rows"), heads, ["component"]).select("n", "p1", "p2", "head", F.col("rows").alias("size")))
+    forget(classes, joined, heads)
+    out = spread_join(filled, named, ["n", "p1", "p2"]).select("id", "row", "n", F.col("head.id").alias("component_id"), F.col("head.row").alias("keep"))
+    return out.unionByName(prints.where("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.col("row").alias("keep")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, n_shingles, component_id`` of each row: the smallest id reachable by links, and the size of its set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    prints = stored(set_prints(rows, n))
-    filled = prints.where("n > 0")
-    classes = filled.groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
-    known = stored(filled.join(classes, ["n", "p1", "p2"]).select("id", "n", "p1", "p2", "rep"))
-    blocks = n_blocks(docs)
-    sparse = sparse_matrix(rows, n, percent, blocks)
-    # What several tasks sent of one class has equal columns: one row is enough, under the name of the class.
-    named = sparse.join(known.select("id", "n", "rep").distinct(), ["id", "n"])
-    one = named.groupBy("rep", "n").agg(F.min_by(F.struct("k", "h"), "id").alias("row"))
-    sets = stored(one.select(F.col("rep").alias("id"), "n", "row.k", "row.h"))
-    found = linked_components(first_columns(sets), sets, percent)
-    out = known.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    alone = prints.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def one_of_each_group(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The document of the smallest id of each component, with all its columns; rows without an id stay.
-
-    Ids to remove, and ids that occur more than once, are written tables whose sizes the
-    planner knows; of rows that are repeated in id and text one stays.
+    rows = with_rows(docs.select(F.col(id_col).cast("long").alias("__id"), text_col), "__id")
+    return joined_components(rows, percent, n, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """The row of the smallest id of each component, with all its columns; rows without an id go where a linked row has one, and rows without words stay.
+
+    The rows to remove are a written table whose size the planner knows.
     """
-    found = stored(jaccard_components(docs, percent))
-    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct())
-    twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    rows = with_rows(docs)
+    found = joined_components(rows.withColumn("__id", F.col("doc_id").cast("long")), percent, n, "text")
+    gone = stored(found.where("keep <> row").select(F.col("row").alias("__row")))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

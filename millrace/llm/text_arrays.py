@@ -61,14 +61,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_hashes), np.diff(np.searchsorted(np.concatenate(all_starts), text_starts))
 
 
-def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's runs of n words; with fewer words, of the whole as one; none without words."""
-    words, counts = word_hashes(texts)
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each place on."""
     weights = mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     runs = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         runs += words[k : k + len(runs)] * weights[k]
-    runs = mixed(runs)
+    return mixed(runs)
+
+
+def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of n words; with fewer words, of the whole as one; none without words."""
+    words, counts = word_hashes(texts)
+    weights = mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    runs = shingles(words, n)
     out, at = [], 0
     for count in counts.tolist():
         if count >= n:
@@ -87,3 +93,12 @@ def set_print(x: np.ndarray) -> tuple[int, int]:
     """Two longs that stand for a set of hashes."""
     again = mixed(x ^ _BASE)
     return int(x.sum(dtype=np.uint64).view(np.int64)), int(again.sum(dtype=np.uint64).view(np.int64))
+
+
+def place_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of all texts laid end to end with a line feed after each, in code points; the same of each text's first point; and the places of all line feeds."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]])
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return change[::2], change[1::2], np.cumsum(sizes) - sizes, np.flatnonzero(codes == 10)
