@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, quality, shared_runs, substring_dedup, token_counts
+from millrace.llm import byte_bpe, chat_format, decontamination, fingerprints, language_id, ngram_join, pii, quality, substring_dedup, token_counts
 from millrace.llm.common import load
 
 
@@ -67,10 +67,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(load(spark, sf_dir, "documents"))
 
 
-def op9_shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_runs.repeated_runs(load(spark, sf_dir, "documents")).drop("row")
-
-
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(load(spark, sf_dir, "documents"))
 
@@ -85,7 +81,6 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
-    "op9_shared_runs": op9_shared_runs,
     "op10_fingerprints": op10_fingerprints,
 }
 
@@ -136,7 +131,7 @@ FROM e GROUP BY conv_id
 WITH RECURSIVE lines AS (
   SELECT doc_id, k AS para, ls[k + 1] AS line FROM (SELECT doc_id, string_split("text", chr(10)) AS ls FROM documents WHERE "text" IS NOT NULL), unnest(range(len(ls))) AS u(k)
 ), p AS (
-  SELECT doc_id * 1000000 + para AS id, doc_id, para, len(ws) AS n_words, ws, CAST(coalesce(sum(length(line) + 1) OVER w, 0) AS INTEGER) AS start, length(line) AS size
+  SELECT doc_id * 1000000 + para AS id, doc_id, len(ws) AS n_words, ws, CAST(coalesce(sum(length(line) + 1) OVER w, 0) AS INTEGER) AS start, length(line) AS size
   FROM (SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM lines)
   WINDOW w AS (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), s AS (SELECT DISTINCT id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM p, unnest(range(1, len(ws) - 3)) AS u(i) WHERE n_words >= 25
@@ -144,8 +139,29 @@ WITH RECURSIVE lines AS (
 ), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL
 ), l AS (SELECT a, b FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
 ), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
-), k AS (SELECT a AS id, least(a, min(b)) AS keep FROM r GROUP BY a)
-SELECT doc_id, CAST(para AS INTEGER) AS para, start, CAST(start + size AS INTEGER) AS "end", CAST(n_words AS INTEGER) AS n_words, keep // 1000000 AS keep_doc_id, CAST(keep % 1000000 AS INTEGER) AS keep_para, keep <> id AS removed
-FROM p JOIN k USING (id)
+), k AS (SELECT a AS id, least(a, min(b)) AS keep FROM r GROUP BY a
+), pieces AS (
+  SELECT doc_id, i, ps[i] AS piece FROM (SELECT doc_id, regexp_extract_all("text", '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS ps FROM documents WHERE "text" IS NOT NULL), unnest(range(1, len(ps) + 1)) AS u(i)
+), words AS (
+  SELECT doc_id, i, stop - length(w) AS start, stop, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, i, regexp_replace(piece, '^[\x20\x09-\x0D]+', '') AS w, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM pieces)
+), runs AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS g FROM (SELECT doc_id, list(w ORDER BY i) AS ws FROM words GROUP BY doc_id), unnest(range(1, len(ws) - 48)) AS u(i)
+), firsts AS (SELECT g, min({'d': doc_id, 'i': i}) AS f FROM runs GROUP BY g HAVING count(*) > 1
+), found AS (
+  SELECT doc_id, i, f.d AS d, f.i AS j, doc_id <> f.d OR i <> f.i AS removed, doc_id = f.d AND i > f.i AND i < f.i + 50 AS overlap FROM runs JOIN firsts USING (g)
+), placed AS (
+  SELECT x.doc_id, removed, d, j, CASE WHEN overlap THEN j + 50 ELSE x.i END AS i, x.i + 50 AS until, CASE WHEN overlap THEN e.stop ELSE a.start END AS start, z.stop
+  FROM found x JOIN words a ON a.doc_id = x.doc_id AND a.i = x.i JOIN words z ON z.doc_id = x.doc_id AND z.i = x.i + 49 JOIN words e ON e.doc_id = x.d AND e.i = x.j + 49
+), marked AS (
+  SELECT *, CASE WHEN i <= max(until) OVER w THEN 0 ELSE 1 END AS new FROM placed WINDOW w AS (PARTITION BY doc_id, removed ORDER BY i, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, removed ORDER BY i, until ROWS UNBOUNDED PRECEDING) AS span FROM marked
+), spans AS (
+  SELECT doc_id, removed, min(start) AS start, max(stop) AS stop, max(until) - min(i) AS n_words, min({'i': i, 'd': d, 'j': j}) AS f FROM numbered GROUP BY doc_id, removed, span
+)
+SELECT 'paragraph' AS kind, p.doc_id, p.start, CAST(p.start + p.size AS INTEGER) AS "end", CAST(p.n_words AS INTEGER) AS n_words, q.doc_id AS keep_doc_id, q.start AS keep_start, keep <> p.id AS removed
+FROM p JOIN k USING (id) JOIN p q ON q.id = keep
+UNION ALL
+SELECT 'run', s.doc_id, s.start, s.stop, CAST(s.n_words AS INTEGER), s.f.d, w.start, removed FROM spans s JOIN words w ON w.doc_id = s.f.d AND w.i = s.f.j
 """,
 }

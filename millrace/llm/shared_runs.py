@@ -1,48 +1,37 @@
-"""Verbatim runs of words that occur again, wherever lines begin and end.
-
-A window is ``RUN`` words in a row; words are those of ``text_arrays`` (white space of any
-kind parts them, so line breaks don't matter). A window's anchor is the leftmost of the
-least hashes of its ``ANCHOR``-word shingles, so equal windows have equal anchors in equal
-places. Windows in a row with one anchor are a segment: a row, instead of one for each word.
-Segments equal as a whole are a class, summed before it is shuffled. Only where an anchor has
-different classes are the windows of one segment of each class looked at, in their texts.
-So each window that occurs again is found (but for equal 128-bit hashes, no two are taken for one).
-
-The occurrence of a window first in (document, row, place) stays; the words of all others
-are repeated, but for those that the first one itself has where the two overlap.
-Overlapping and touching repeats are one span.
-
-Defined results: null texts and texts of fewer words have no spans; texts of any length are
-read whole; rows with equal ids are told apart by their row; rows without an id come first,
-so they are kept; an empty table gives an empty table. Only the named columns are read
-(``without_shared_runs`` keeps all others as they are), so other columns can't clash.
+"""Windows of words, banded by their least hash, and spans of words from windows that occur again.
+
+A window is ``RUN`` words in a row, wherever lines begin and end. Its band is one minimum
+hash: the leftmost of the least hashes of its ``ANCHOR``-word shingles, so equal windows
+collide with certainty. Windows in a row with the same minimum are a segment: a row, instead
+of one for each word. Segments equal as a whole are a class, summed before it is shuffled.
+Only where a minimum has different classes are the windows of one segment of each class
+looked at, in their texts, and held against each other word by word (by 64-bit hashes of
+all their words, besides the equal minimum).
+
+Of each window's occurrences the first in (document, row, place) stays; the words of all
+others are repeated, but for those that the first one itself has where the two overlap.
+Overlapping and touching windows are one span.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, stored
-from millrace.llm.text_arrays import mixed, powers, word_hashes
+from millrace.llm.common import forget, spread_join, stored
+from millrace.llm.text_arrays import mixed, powers
 
 RUN, ANCHOR = 50, 13
-_SPACES = "\t\n\x0b\x0c\r "
 _BACK = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
 
 class Hashed:
-    """The words of many texts: hashes of any run of them from sums of powers."""
+    """Hashes of any run of words from sums of powers."""
 
-    def __init__(self, texts: list[bytes]):
-        self.words, self.counts = word_hashes(texts)
-        self.firsts = np.cumsum(self.counts) - self.counts
-        n = len(self.words)
-        self.sums = np.append(np.uint64(0), np.cumsum(self.words * powers(n), dtype=np.uint64)) if n else np.zeros(1, np.uint64)
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.sums = np.append(np.uint64(0), np.cumsum(words * powers(n), dtype=np.uint64)) if n else np.zeros(1, np.uint64)
         back = np.full(n + 1, _BACK, np.uint64)
         back[0] = 1
         self.back = np.multiply.accumulate(back)
@@ -63,120 +52,62 @@ def leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
     return low
 
 
-def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end (code points) of each word."""
-    inside = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.concatenate([[False], ~np.isin(inside, [ord(c) for c in _SPACES]), [False]])
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    return change[::2], change[1::2]
-
-
-def find_segments(rows: DataFrame, run: int, anchor: int) -> DataFrame:
-    """A row for each segment of ``rows(doc_id, row, text)``: place, windows ``n``, code points (``mid`` ends the first window) and hashes."""
-    names = ["doc_id", "row", "at", "n", "start", "mid", "end", "anchor", "h"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            hashed = Hashed([x.encode("utf-8") for x in texts])
-            if len(hashed.words) < run:
-                continue
-            shingles = hashed.runs(np.arange(len(hashed.words) - anchor + 1), anchor)
-            low = leftmost_least(shingles, run - anchor + 1)
-            of = np.repeat(np.arange(len(texts)), hashed.counts)[: len(low)]
-            place = np.arange(len(low))
-            whole = np.flatnonzero(place + run <= (hashed.firsts + hashed.counts)[of])
-            if not len(whole):
-                continue
-            new = np.append(True, (low[whole][1:] != low[whole][:-1]) | (np.diff(whole) > 1))
-            first = np.flatnonzero(new)
-            at, n = whole[first], np.diff(np.append(first, len(whole)))
-            doc = of[at]
-            bounds = [word_bounds(texts[k]) if hashed.counts[k] >= run else (np.zeros(0, np.int64),) * 2 for k in range(len(texts))]
-            sizes = np.array([len(b[0]) for b in bounds])
-            shift = np.cumsum(sizes) - sizes
-            starts, ends = (np.concatenate([b[k] for b in bounds]) for k in (0, 1))
-            local = at - hashed.firsts[doc]
-            here = shift[doc] + local
-            columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc))]
-            columns += [pa.array(x.astype(np.int32)) for x in (local, n, starts[here], ends[here + run - 1], ends[here + n + run - 2])]
-            columns += [pa.array(x.view(np.int64)) for x in (shingles[low[at]], hashed.runs(at, n + run - 1))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return map_batches(rows, work, "doc_id long, row long, at int, n int, start int, mid int, end int, anchor long, h long")
-
-
-def windows_of(rows: DataFrame, wanted: DataFrame, run: int) -> DataFrame:
-    """``anchor, h, doc_id, row, at, start, end``: each window of the segments ``wanted(doc_id, row, at, n, anchor, h)``, read again from their texts."""
-    asked = stored(wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "anchor", "h")).alias("asked")).withColumnRenamed("doc_id", "of"))
-    texts = rows.select("doc_id", "text")
-    met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["of"])).select("doc_id", "row", "text", "asked")
-    names = ["anchor", "h", "doc_id", "row", "at", "start", "end"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, texts, asked_for = (batch.column(k) for k in range(4))
-            for k, text in enumerate(texts.to_pylist()):
-                hashed = Hashed([(text or "").encode("utf-8")])
-                ask = asked_for.slice(k, 1).flatten().flatten()
-                at, n, anchor, h = (x.to_numpy(zero_copy_only=False) for x in ask)
-                # Another row with the same id has other words, or none, in that place.
-                same = at.astype(np.int64) + n + run - 1 <= len(hashed.words)
-                same[same] = hashed.runs(at[same].astype(np.int64), n[same].astype(np.int64) + run - 1).view(np.int64) == h[same]
-                if not same.any():
-                    continue
-                at, n, anchor = at[same].astype(np.int64), n[same].astype(np.int64), anchor[same]
-                place = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                starts, ends = word_bounds(text)
-                which = pa.array(np.full(len(place), k))
-                columns = [pa.array(np.repeat(anchor, n)), pa.array(hashed.runs(place, run).view(np.int64)), ids.take(which), numbers.take(which)]
-                columns += [pa.array(x.astype(np.int32)) for x in (place, starts[place], ends[place + run - 1])]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return map_batches(met, work, "anchor long, h long, doc_id long, row long, at int, start int, end int")
-
-
-def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``doc_id, row, start, end, n_words, keep_doc_id, keep_start`` of every span whose runs of ``run`` words all occur before.
-
-    Starts and ends are code points; ``keep_*`` name the place of the first run of the span
-    that stays. ``row_col`` numbers the rows; without it they are numbered as they are read.
-    """
+def segments(words: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """Of many texts' words, the segments: text, place (of all words), number of windows, minimum and hash of all words."""
     anchor = min(ANCHOR, run)
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    segments = stored(find_segments(rows, run, anchor))
-    place = F.struct("doc_id", "row", "at", "start", F.col("mid").alias("stop"))
-    classes = stored(segments.groupBy("anchor", "h", "n").agg(F.count("*").alias("size"), F.min(place).alias("first")))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
-    wanted = classes.join(several, "anchor", "left_semi").select("first.doc_id", "first.row", "first.at", "n", "anchor", "h")
-    windows = stored(windows_of(rows, wanted, run).distinct())
-    met = windows.groupBy("anchor", "h").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "row", "at", "start", F.col("end").alias("stop"))).alias("first")).where("size > 1").drop("size")
-    columns = ["doc_id", "row", "at", "until", "start", "end", "first"]
-    whole = segments.join(classes.where("size > 1").drop("size"), ["anchor", "h", "n"]).withColumn("until", F.col("at") + F.col("n") + run - 1).select(*columns)
-    parts = windows.join(met, ["anchor", "h"]).withColumn("until", F.col("at") + run).select(*columns)
-    same_row = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-    found = whole.unionByName(parts).where(~(same_row & (F.col("at") == F.col("first.at"))))
-    # Where the repeat overlaps the first one, the first one's words stay.
-    overlap = same_row & (F.col("at") < F.col("first.at") + run)
-    found = found.withColumn("start", F.when(overlap, F.col("first.stop")).otherwise(F.col("start"))).withColumn("at", F.when(overlap, F.col("first.at") + run).otherwise(F.col("at")))
-    order = Window.partitionBy("doc_id", "row").orderBy("at", "until")
+    empty = np.zeros(0, np.int64)
+    if len(words) < run:
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+    hashed = Hashed(words)
+    shingles = hashed.runs(np.arange(len(words) - anchor + 1), anchor)
+    low = leftmost_least(shingles, run - anchor + 1)
+    ends = np.cumsum(counts)
+    of = np.repeat(np.arange(len(counts)), counts)[: len(low)]
+    whole = np.flatnonzero(np.arange(len(low)) + run <= ends[of])
+    new = np.append(True, (low[whole][1:] != low[whole][:-1]) | (np.diff(whole) > 1))[: len(whole)]
+    first = np.flatnonzero(new)
+    at, n = whole[first], np.diff(np.append(first, len(whole)))
+    return of[at], at, n, shingles[low[at]], hashed.runs(at, n + run - 1)
+
+
+def classes_of(found: DataFrame) -> DataFrame:
+    """Classes of ``found(doc_id, row, at, n, start, mid, end, a, b)``, a the minimum and b the hash: ``size``, the ``first`` place and whether the minimum is ``met`` by others."""
+    place = F.struct("doc_id", "row", "at", "start", F.col("mid").alias("stop"), "end")
+    classes = stored(found.groupBy("a", "b", "n").agg(F.count("*").alias("size"), F.min(place).alias("first")))
+    several = classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("met"))
+    out = stored(classes.join(several, "a", "left").withColumn("met", F.coalesce("met", F.lit(False))))
+    forget(classes)
+    return out
+
+
+def spans_of(found: DataFrame, classes: DataFrame, windows: DataFrame, run: int) -> DataFrame:
+    """``doc_id, row, start, end, n_words, keep_doc_id, keep_start, removed`` of all spans of windows that occur again.
+
+    ``windows(a, b, n, doc_id, row, at, start, stop, h)`` are those of the first segments of
+    the classes that meet others.
+    """
+    place = F.struct("doc_id", "row", "at", "start", "stop")
+    sized = windows.join(classes.select("a", "b", "n", "size"), ["a", "b", "n"])
+    groups = stored(sized.groupBy("a", "h").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min(place).alias("keep")).where("total > 1").drop("total"))
+    parts = spread_join(windows, groups, ["a", "h"])
+    columns = ["doc_id", "row", "at", "until", "start", "end", "keep"]
+    met = parts.withColumn("until", F.col("at") + run).withColumn("end", F.col("stop")).select(*columns)
+    # The first window of a class's first segment: what stays of it stands for the class.
+    heads = parts.join(classes.select("a", "b", "n", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), ["a", "b", "n"]).where("row = r and at = t").select("a", "b", "n", F.col("keep").alias("head"))
+    again = classes.where("size > 1").join(heads, ["a", "b", "n"], "left")
+    own = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "at", "start", "stop")])
+    again = stored(again.select("a", "b", "n", "size", "met", "first", F.coalesce("head", own).alias("keep")))
+    members = spread_join(found, again.drop("met"), ["a", "b", "n"]).withColumn("until", F.col("at") + F.col("n") + run - 1)
+    others = members.where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))).select(*columns)
+    alone = again.where("not met").select("first.*", "n", "keep").withColumn("until", F.col("at") + F.col("n") + run - 1).select(*columns)
+    same_row = F.col("row") == F.col("keep.row")
+    all_found = met.unionByName(others).unionByName(alone).withColumn("removed", ~(same_row & (F.col("at") == F.col("keep.at"))))
+    # Where the repeat overlaps the one that stays, that one's words stay.
+    overlap = F.col("removed") & same_row & (F.col("at") < F.col("keep.at") + run)
+    all_found = all_found.withColumn("start", F.when(overlap, F.col("keep.stop")).otherwise(F.col("start"))).withColumn("at", F.when(overlap, F.col("keep.at") + run).otherwise(F.col("at")))
+    order = Window.partitionBy("row", "removed").orderBy("at", "until")
     reached = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.withColumn("new", F.coalesce((F.col("at") > reached).cast("int"), F.lit(1)))
+    spans = all_found.withColumn("new", F.coalesce((F.col("at") > reached).cast("int"), F.lit(1)))
     spans = spans.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("at")).cast("int").alias("n_words"), F.min(F.struct("at", "first")).alias("f"))
-    return out.select("doc_id", "row", "start", "end", "n_words", F.col("f.first.doc_id").alias("keep_doc_id"), F.col("f.first.start").alias("keep_start"))
-
-
-def without_shared_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the spans that occur before; all columns stay."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    gone = repeated_runs(numbered, run, id_col, text_col, "__row")
-    gone = stored(gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone")))
-    joined = numbered.join(gone, numbered["__row"] == gone["row"], "left").drop("__row", "row")
-    # Code points between the spans: after the one before (or from the beginning) up to the next (or the end).
-    text, spans = F.col(text_col), F.col("__gone")
-    begin = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
-    stop = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text)))
-    left = F.array_join(F.transform(F.arrays_zip(begin.alias("b"), stop.alias("e")), lambda x: F.substring(text, x["b"] + 1, x["e"] - x["b"])), "")
-    return joined.withColumn(text_col, F.when(spans.isNull(), text).otherwise(left)).select(*docs.columns)
+    out = spans.groupBy("doc_id", "row", "removed", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("at")).cast("int").alias("n_words"), F.min(F.struct("at", "keep")).alias("f"))
+    return out.select("doc_id", "row", "start", "end", "n_words", F.col("f.keep.doc_id").alias("keep_doc_id"), F.col("f.keep.start").alias("keep_start"), "removed")

@@ -1,19 +1,25 @@
 """Removal of repeated passages by MinHash banding of paragraphs.
 
-A paragraph (a line) of at least ``MIN_WORDS`` words has the set of its 5-word shingles.
-Paragraphs with equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum hashes each,
-a shape with a recall of 0.999998 at a similarity of 0.75, tell which classes collide;
-an exact join of these links those whose Jaccard similarity is 0.75 or more; components are clusters. Of each
-cluster the occurrence first in (document, paragraph) stays and all others are removals.
-Runs of words that are repeated inside other lines, or over several, are ``shared_runs``'s;
-``remove_passages`` removes both.
-
-Defined results: null texts have no paragraphs; shorter paragraphs are left alone; texts of any
-length are read whole; repeated paragraphs within a document count as any others;
-repeated rows (and rows with equal ids) are copies of each other; rows without an id are
-clustered too and, coming first, are kept; an empty table gives an empty table. Only the id and text
-columns are read (``remove_passages`` keeps all others as they are), so other columns
-can't clash.
+Two kinds of paragraph are banded, in one scan, and joined where they collide:
+
+* a line of at least ``MIN_WORDS`` words, with the set of its 5-word shingles. Lines with
+  equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum hashes each, a shape with a
+  recall of 0.999998 at a similarity of 0.75, tell which classes collide; those are compared,
+  by pivots of each band, and linked where their exact Jaccard similarity is 0.75 or more;
+* each window of ``RUN`` words, wherever lines begin and end (see ``shared_runs``). One minimum
+  hash is band enough, since what collides is linked only where it is equal word by word.
+
+Components are clusters. Of each cluster the occurrence first in (document, row, place)
+stays and all others are removals. Windows that overlap or touch are reported as one span,
+so a verbatim passage of ``RUN`` words or more is found to its full extent.
+
+Defined results: null texts have no paragraphs; shorter lines and shorter repeats inside
+lines are left alone; texts of any length are read whole; paragraphs that are repeated within
+a document count as any others; repeated rows (and rows with equal ids) are copies of
+each other, told apart by their number; rows without an id are clustered too and, coming
+first, are kept; an empty table gives an empty table. Only the id and text columns are read
+(``remove_passages`` keeps all others as they are), so other columns can't clash (names that
+begin with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -25,124 +31,242 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, n_blocks, stored
-from millrace.llm.components import linked_components
-from millrace.llm.ngram_join import first_columns, sparse_matrix
-from millrace.llm.shared_runs import without_shared_runs
-from millrace.llm.text_arrays import mixed, set_print, shingle_sets
+from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
+from millrace.llm.components import SET_ROWS, linked_components, set_rows
+from millrace.llm.shared_runs import RUN, Hashed, classes_of, segments, spans_of
+from millrace.llm.text_arrays import _BASE, mixed, place_words, shingle_sets, shingles, word_hashes
 
 MIN_WORDS, PERCENT, SHINGLE = 25, 75, 5
 BANDS, ROWS = 16, 2
+KINDS = ("paragraph", "run")
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-#: Classes that a task remembers, to compute bands once for each.
-SEEN_LIMIT = 500_000
+#: Classes that a task remembers, to compute bands once for each, and band keys that it gathers or sorts at a time.
+SEEN_LIMIT, KEYS_AT_ONCE = 500_000, 1_000_000
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set (none empty) a long for each band: all sets of a batch at once, one minimum hash after the other."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+def band_keys(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, its shingles end to end in ``x``, a number for each band: one minimum hash after the other."""
     starts = np.cumsum(sizes) - sizes
-    shingles = np.concatenate(sets)
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(sets), axis=0)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(sizes), axis=0)
     for k, factor in enumerate(_FACTORS):
         # The shingles' hashes are mixed already: multiplying by an odd number orders them anew.
-        keys[:, k // ROWS] = mixed(keys[:, k // ROWS] ^ mixed(np.minimum.reduceat(shingles * factor, starts)))
-    return keys.view(np.int64)
+        keys[:, k // ROWS] = mixed(keys[:, k // ROWS] ^ mixed(np.minimum.reduceat(x * factor, starts)))
+    return keys
+
 
+#: Paragraphs: kind, place (document, row, number of the first word, code points), size (of the set, or in windows), prints (a, b) and, once for each class of lines and task, bands. ``mid`` ends a segment's first window.
+FOUND = "kind int, doc_id long, row long, at int, n int, n_words int, start int, mid int, end int, a long, b long, bands binary"
 
-def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """Number, start, end (code points) and words of each paragraph that is long enough."""
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        n = len(line.split())
-        if n >= min_words:
-            yield k, at, at + len(line), n
-        at += len(line) + 1
 
+def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str, ...]) -> DataFrame:
+    """The paragraphs, as ``FOUND``, of ``rows(doc_id, row, text)``."""
+    names = [x.split(" ")[0] for x in FOUND.split(", ")]
 
-def find_paragraphs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each paragraph: place, set print and, once for each class and task, its bands."""
+    def lines(words: np.ndarray, starts: np.ndarray, feeds: np.ndarray, seen: set) -> tuple:
+        """First word, words, line start, line end, size of the set, prints and bands of the lines that are long enough."""
+        line = np.searchsorted(feeds, starts)
+        change = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
+        count = np.diff(np.append(change, len(line)))
+        long = count >= min_words
+        first, count, line = change[long], count[long], line[change[long]]
+        m = count - SHINGLE + 1
+        owner = np.repeat(np.arange(len(m)), m)
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + first[owner]
+        x = shingles(words, SHINGLE)[place]
+        order = np.lexsort((x, owner))
+        x, owner = x[order], owner[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (owner[1:] != owner[:-1]))[: len(x)]
+        x, owner = x[new], owner[new]
+        size = np.bincount(owner, minlength=len(m))
+        at = np.cumsum(size) - size
+        p1 = np.add.reduceat(x, at) if len(x) else x
+        p2 = np.add.reduceat(mixed(x ^ _BASE), at) if len(x) else x
+        fresh = np.zeros(len(m), bool)
+        for k, key in enumerate(zip(size.tolist(), p1.tolist(), p2.tolist(), strict=True)):
+            if key not in seen:
+                if len(seen) >= SEEN_LIMIT:
+                    seen.clear()
+                seen.add(key)
+                fresh[k] = True
+        bands: list = [None] * len(m)
+        if fresh.any():
+            for k, keys in zip(np.flatnonzero(fresh).tolist(), band_keys(x[fresh[owner]], size[fresh]), strict=True):
+                bands[k] = keys.tobytes()
+        return first, count, np.append(0, feeds + 1)[line], feeds[line], size, p1, p2, bands
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
+
+        def packed(kind: int, batch: pa.RecordBatch, doc: np.ndarray, first_word: np.ndarray, *columns: object) -> pa.RecordBatch:
+            of = pa.array(doc)
+            *numbers, a, b, bands = columns
+            arrays = [pa.array(np.full(len(doc), kind, np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(first_word.astype(np.int32)), *[pa.array(x.astype(np.int32)) for x in numbers], pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(bands, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for batch in batches:
-            rows, lines = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, a, b, n in paragraphs(text or "", min_words):
-                    rows.append((i, k, a, b, n))
-                    lines.append(text[a:b].encode("utf-8"))
-            prints, new, fresh = [], [], []
-            for k, x in enumerate(shingle_sets(lines, SHINGLE)):
-                key = (len(x), *set_print(x))
-                prints.append(key)
-                if key not in seen:
-                    if len(seen) >= SEEN_LIMIT:
-                        seen.clear()
-                    seen.add(key)
-                    new.append(k)
-                    fresh.append(x)
-            bands: list = [None] * len(rows)
-            for k, keys in zip(new, band_keys(fresh) if new else (), strict=True):
-                bands[k] = keys
-            arrays = [pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.int32()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([x[k] for x in prints], pa.int64()) for k in range(3)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "para", "start", "end", "n_words", "n", "p1", "p2", "bands"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, para int, start int, end int, n_words int, n long, p1 long, p2 long, bands array<long>")
-
-
-def paragraph_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, text`` (as bytes) of the paragraphs ``wanted(id, doc_id, start, end, n, p1, p2)``, read again from their documents."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end", "n", "p1", "p2")).alias("asked"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = texts.join(stored(asked), "doc_id").select("text", "asked")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [x or "" for x in batch.column(2).to_pylist()]
+            words, counts = word_hashes([x.encode("utf-8") for x in texts])
+            starts, ends, origin, feeds = place_words(texts)
+            first_of = np.cumsum(counts) - counts
+            of = np.repeat(np.arange(len(texts)), counts)
+            if "paragraph" in kinds and len(words):
+                first, n_words, begin, end, size, p1, p2, bands = lines(words, starts, feeds, seen)
+                doc = of[first]
+                yield packed(0, batch, doc, first - first_of[doc], size, n_words, begin - origin[doc], end - origin[doc], end - origin[doc], p1, p2, bands)
+            if "run" in kinds:
+                doc, at, n, least, whole = segments(words, counts, run)
+                if len(at):
+                    yield packed(1, batch, doc, at - first_of[doc], n, n + run - 1, starts[at] - origin[doc], ends[at + run - 1] - origin[doc], ends[at + n + run - 2] - origin[doc], least, whole, [None] * len(at))
+
+    return map_batches(rows, work, FOUND)
+
+
+def colliding(classes: DataFrame, blocks: int) -> DataFrame:
+    """``key, id, n``: the band keys that two or more of ``classes(id, n, bands)`` have. Keys travel packed, by block."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked_for, lines = [], []
-            for text, asked_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for x in asked_of:
-                    asked_for.append(x)
-                    lines.append((text or "")[x["start"] : x["end"]].encode("utf-8"))
-            # Another row with the same id has another paragraph, or none, in that place.
-            same = [(len(s), *set_print(s)) == (x["n"], x["p1"], x["p2"]) for x, s in zip(asked_for, shingle_sets(lines, SHINGLE), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x, ok in zip(asked_for, same, strict=True) if ok], pa.int64()), pa.array([x for x, ok in zip(lines, same, strict=True) if ok], pa.binary())], ["id", "text"])
+            for at in range(0, batch.num_rows, KEYS_AT_ONCE // BANDS):
+                part = batch.slice(at, KEYS_AT_ONCE // BANDS)
+                key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
+                owner = np.repeat(np.arange(part.num_rows), BANDS)
+                block = (key % np.uint64(blocks)).astype(np.int32)
+                order = np.argsort(block, kind="stable")
+                key, owner = key[order], owner[order]
+                cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+                ids, n = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int32)
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                payloads = [b"".join([key[cuts[b] : cuts[b + 1]].tobytes(), np.diff(ids[owner[cuts[b] : cuts[b + 1]]], prepend=0).tobytes(), n[owner[cuts[b] : cuts[b + 1]]].tobytes()]) for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raws = [x for batch in batches for x in batch.column(1).to_pylist()]
+        total = sum(map(len, raws)) // 20
+        parts = -(-total // KEYS_AT_ONCE)
+        for part in range(parts):
+            keys, ids, sizes = [], [], []
+            for raw in raws:
+                m = len(raw) // 20
+                key = np.frombuffer(raw, np.uint64, m)
+                own = (key // np.uint64(blocks)) % np.uint64(parts) == part
+                keys.append(key[own])
+                ids.append(np.cumsum(np.frombuffer(raw, np.int64, m, 8 * m))[own])
+                sizes.append(np.frombuffer(raw, np.int32, m, 16 * m)[own])
+            key, i, n = (np.concatenate(x) for x in (keys, ids, sizes))
+            order = np.argsort(key, kind="stable")
+            key, i, n = key[order], i[order], n[order]
+            same = key[1:] == key[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            key, i, n = key[keep], i[keep], n[keep]
+            for at in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.uint64).view(np.int64)) for x in (key, i, n)], ["key", "id", "n"])
+
+    sent = map_batches(classes, send, "block int, payload binary").repartition(blocks, "block")
+    return map_batches(sent, meet, "key long, id long, n long")
+
 
-    return map_batches(met, run, "id long, text binary")
+#: Read again: for a line (kind 0) a row of its set (see ``SET_ROWS``), for a segment (kind 1) a row for each window.
+READ = f"kind int, {SET_ROWS}, a long, b long, doc_id long, row long, at int, start int, stop int, hash long"
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, para, start, end, n_words, keep_doc_id, keep_para, removed`` of every paragraph that occurs again.
+def read_again(rows: DataFrame, asked: DataFrame, run: int) -> DataFrame:
+    """``READ`` of the paragraphs ``asked(kind, row, id, at, n, start, end, a, b)``, in their texts."""
+    lists = stored(asked.groupBy("row").agg(F.collect_list(F.struct("kind", "id", "at", "n", "start", "end", "a", "b")).alias("asked")))
+    met = rows.join(lists, "row").select("doc_id", "row", "text", "asked")
+    schema = [x.split(" ") for x in READ.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
 
-    ``keep_*`` name the occurrence of its cluster that stays.
+    def filled(n: int, given: dict[str, object]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[c]) if c in given and not isinstance(given[c], pa.Array) else given.get(c, pa.nulls(n, types[t])) for c, t in schema], [c for c, _ in schema])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, texts = [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                kind, i, at, n, start, end, a, b = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).slice(k, 1).flatten().flatten())
+                line = kind == 0
+                owners += i[line].tolist()
+                texts += [text[x:y].encode("utf-8") for x, y in zip(start[line].tolist(), end[line].tolist(), strict=True)]
+                if line.all():
+                    continue
+                at, n, a, b = (x[~line] for x in (at, n, a, b))
+                n = n.astype(np.int64)
+                words, _ = word_hashes([text.encode("utf-8")])
+                starts, ends, _, _ = place_words([text])
+                size = int(n.sum())
+                place = np.repeat(at.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(size)
+                of = pa.array(np.full(size, k))
+                given = {"kind": np.ones(size, np.int32), "n": np.repeat(n, n), "a": np.repeat(a, n), "b": np.repeat(b, n), "doc_id": batch.column(0).take(of), "row": batch.column(1).take(of), "at": place.astype(np.int32), "start": starts[place].astype(np.int32), "stop": ends[place + run - 1].astype(np.int32), "hash": Hashed(words).runs(place, run).view(np.int64)}
+                yield filled(size, given)
+            if owners:
+                sets = shingle_sets(texts, SHINGLE)
+                part = set_rows(owners, [len(x) for x in sets], sets)
+                given = {c: part.column(c) for c in part.schema.names} | {"kind": np.zeros(part.num_rows, np.int32)}
+                yield filled(part.num_rows, given)
+
+    return map_batches(met, work, READ)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, run: int = RUN, kinds: tuple[str, ...] = KINDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``kind, doc_id, start, end, n_words, keep_doc_id, keep_start, removed`` of every passage that occurs again.
+
+    ``keep_*`` name the occurrence of its cluster that stays, which is itself where ``removed``
+    is false. Starts and ends are code points. ``kind`` is ``paragraph`` (a line) or ``run``.
     """
-    found = stored(find_paragraphs(docs, min_words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    columns = ["kind", "doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start", "removed"]
+    rows = with_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return passages_of_rows(rows.select("doc_id", F.col("__row").alias("row"), "text"), min_words, percent, run, kinds).select(*columns)
+
+
+def passages_of_rows(rows: DataFrame, min_words: int, percent: int, run: int, kinds: tuple[str, ...]) -> DataFrame:
+    """The same, with ``row``, for ``rows(doc_id, row, text)``."""
+    found = stored(find_paragraphs(rows, min_words, run, kinds))
+    lines, runs = found.where("kind = 0").drop("kind"), found.where("kind = 1").drop("kind", "bands")
     # One of each class, summed up before it is shuffled: a passage in a third of all documents is one row from each task.
-    place = F.struct("doc_id", "start", "end")
-    classes = stored(found.groupBy("n", "p1", "p2").agg(F.min("row").alias("rep"), F.max("bands").alias("bands"), F.min_by(place, "row").alias("at")))
-    bands = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    met = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    proposed = bands.join(met, "key").select("id").distinct()
-    wanted = classes.join(proposed, classes["rep"] == proposed["id"]).select("id", "at.doc_id", "at.start", "at.end", "n", "p1", "p2").where("doc_id is not null")
-    # Colliding paragraphs meet in the exact join, whose bounds on sizes and places keep the pairs few even where thousands share half their text.
-    texts = stored(paragraph_texts(docs, wanted, id_col, text_col).dropDuplicates(["id"]))
-    sets = stored(sparse_matrix(texts, SHINGLE, percent, n_blocks(texts)))
-    linked = linked_components(first_columns(sets), sets, percent)
-    named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n", "p1", "p2", F.coalesce("component", "rep").alias("cluster"))
-    members = found.drop("bands", "row").join(named, ["n", "p1", "p2"]).drop("n", "p1", "p2")
-    members = stored(members)
-    kept = members.groupBy("cluster").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "para", "start")).alias("keep")).where("size > 1").drop("size")
-    out = members.join(kept, "cluster")
-    first = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("para") == F.col("keep.para"))
-    return out.select("doc_id", "para", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.para").alias("keep_para"), (~first).alias("removed"))
-
-
-def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removals, line breaks included, and then without the runs of words that what is left has before; all columns stay."""
-    gone = repeated_passages(docs, min_words, PERCENT, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"))
-    gone = stored(gone)
-    joined = docs.join(gone, docs[id_col] == gone["doc_id"], "left").select(*[docs[c] for c in docs.columns], F.col("__gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.coalesce(F.array_contains("__gone", k), F.lit(False))), "\n")
-    lines_gone = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
-    return without_shared_runs(lines_gone, id_col=id_col, text_col=text_col)
+    place = F.struct("doc_id", "row", "at", "start", "end")
+    classes = stored(lines.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("size"), F.max("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    met = stored(colliding(classes.select("id", "n", "bands"), n_blocks(rows)))
+    run_classes = classes_of(runs)
+    none = F.lit(None).cast("long")
+    asked_lines = classes.join(met.select("id").distinct(), "id", "left_semi").select(F.lit(0).alias("kind"), "first.row", "id", "first.at", "n", "first.start", "first.end", "a", "b")
+    asked_runs = run_classes.where("met").select(F.lit(1).alias("kind"), "first.row", none.alias("id"), "first.at", "n", "first.start", "first.end", "a", "b")
+    read = stored(read_again(rows, asked_lines.unionByName(asked_runs), run))
+    linked = linked_components(met.withColumn("u", F.col("n")), read.where("kind = 0").select("id", "n", "blocks", "block", "h"), percent)
+    clusters = stored(classes.drop("bands").join(linked, "id", "left").withColumn("cluster", F.coalesce("component", "id")))
+    heads = stored(clusters.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min("first").alias("keep")).where("total > 1").drop("total"))
+    kept = stored(spread_join(clusters.withColumnRenamed("size", "rows"), heads, ["cluster"]).select("n", "a", "b", "keep", F.col("rows").alias("size")))
+    forget(classes, met, clusters, heads)
+    first = (F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))
+    columns = ["kind", "doc_id", "row", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), (~first).alias("removed")]
+    of_lines = spread_join(lines.drop("bands"), kept, ["n", "a", "b"]).withColumn("kind", F.lit(KINDS[0])).select(*columns)
+    windows = read.where("kind = 1").select("a", "b", F.col("n").cast("int").alias("n"), "doc_id", "row", "at", "start", "stop", F.col("hash").alias("h"))
+    of_runs = spans_of(runs, run_classes, windows, run).withColumn("kind", F.lit(KINDS[1]))
+    return of_lines.unionByName(of_runs)
+
+
+def without(docs: DataFrame, min_words: int, percent: int, run: int, kind: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the removals of one kind; of a line, its line feed goes too. All columns stay."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    gone = passages_of_rows(rows, min_words, percent, run, (kind,)).where("removed")
+    gone = stored(gone.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone")))
+    joined = numbered.join(gone, "__row", "left")
+    text, spans = F.col(text_col), F.col("__gone")
+    last = F.element_at(spans, -1)
+    if kind == "paragraph":  # a last line goes with the feed before it, if that is left
+        spans = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (x["end"] + 1).alias("end")))
+    # Code points between the spans: after the one before (or from the beginning) up to the next (or the end).
+    begin = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+    stop = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text)))
+    left = F.array_join(F.transform(F.arrays_zip(begin.alias("b"), stop.alias("e")), lambda x: F.substring(text, x["b"] + 1, F.greatest(x["e"] - x["b"], F.lit(0)))), "")
+    if kind == "paragraph":
+        left = F.when(last["end"] == F.length(text), F.regexp_replace(left, "\n\\z", "")).otherwise(left)
+    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left)).select(*docs.columns)
+
+
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the lines to remove and then without the runs of words that what is left has before; all columns stay."""
+    out = docs
+    for kind in KINDS:
+        out = without(out, min_words, percent, run, kind, id_col, text_col)
+    return out

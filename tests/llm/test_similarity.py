@@ -67,12 +67,21 @@ def test_words_and_sets_equal_plain_ones():
         assert len(plain_set(x)) == len(own)
 
 
+def long_texts(seed):
+    """Texts whose sets are cut into several blocks of columns, and near copies on both sides of the next cut."""
+    rng = random.Random(seed)
+    out = []
+    for n in (components.BLOCK_COLUMNS - 20, 2 * components.BLOCK_COLUMNS + 9, 5000):
+        w = [f"{rng.randrange(10**6)}" for _ in range(n)]
+        out += [" ".join(w), " ".join([*w, *[f"x{k}" for k in range(n // 8)]]), " ".join([*w[: n // 2], *[f"y{k}" for k in range(n // 2)]])]
+    return out
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_join_equals_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(components, "AT_ONCE", [0, 512, 1][seed - 1])  # by pivots to the end, at once, or both
-    monkeypatch.setattr(components, "MAX_ROUNDS", [6, 24, 3][seed - 1])
+    monkeypatch.setattr(components, "PIVOTS", [(1, 4), (1, 1, 4, 16, 64), (64,)][seed - 1])
     monkeypatch.setattr(ngram_join, "FLUSH_ENTRIES", 500)
-    texts = corpus(seed)
+    texts = corpus(seed) + (long_texts(seed) if seed == 2 else [])
     docs = spark.createDataFrame([(10 + k, x, "n") for k, x in enumerate(texts)], "doc_id long, text string, n string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
     sets = {10 + k: plain_set(x) for k, x in enumerate(texts)}
@@ -80,15 +89,37 @@ def test_join_equals_all_pairs(spark, seed, monkeypatch):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_lists_of_many_unlinked_sets_are_worked_off(spark, monkeypatch):
+    """More rounds than pivots grow in; within the list, chains of linked sets."""
+    import numpy as np
+
+    monkeypatch.setattr(components, "PIVOTS", (1, 6))
+    sets = {i: {*range(7), *(1000 * i + k for k in range(3))} for i in range(40)}
+    for i in (12, 25, 31):  # 12, 100 + 12 and 200 + 12 are a chain
+        sets[100 + i] = {*range(7), 1000 * i, 1000 * i + 1, 5}
+        sets[200 + i] = {*range(6), 1000 * i, 1000 * i + 1, 77}
+    plain = plain_components({i: frozenset(x) for i, x in sets.items()})
+    rows = [(i, len(x), 1, 0, sorted(x)) for i, x in sets.items()]
+    table = spark.createDataFrame(rows, components.SET_ROWS)
+    postings = spark.createDataFrame([(1, i, len(x), len(x)) for i, x in sets.items()], "key long, id long, n long, u long")
+    got = {r["id"]: r["component"] for r in components.linked_components(postings, table, 75).collect()}
+    assert got and got == {i: c for i, c in plain.items() if list(plain.values()).count(c) > 1}
+    parts = list(components.column_blocks_of(np.arange(3000, dtype=np.int64), 3000))
+    assert sorted({(x, y) for x, y, _ in parts}) == [*[(2, k) for k in range(2)], *[(4, k) for k in range(4)]]
+
+
 def test_join_of_odd_tables(spark):
     schema = "doc_id long, text string, component_id int"
     assert ngram_join.jaccard_components(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, "a b c d e f", 1), (None, None, 1), (5, "a b c d e f", 1), (5, "a b c d e f", 1), (3, "A B C D E F", 1)]
+    rows = [(None, "a b c d e f", 1), (None, None, 1), (5, "a b c d e f", 1), (5, "a b c d e f", 1), (3, "A B C D E F", 1), (None, "p q r s t u", 1), (8, "p q r s t u", 1), (8, "u t s r q p", 1), (9, "u t s r q p", 1), (None, "", 1), (None, "solo", 1)]
     docs = spark.createDataFrame(rows, schema)
     got = sorted(map(str, ngram_join.jaccard_components(docs).collect()))
-    assert got == sorted(["Row(doc_id=None, n_shingles=2, component_id=3)", "Row(doc_id=None, n_shingles=0, component_id=None)", *["Row(doc_id=5, n_shingles=2, component_id=3)"] * 2, "Row(doc_id=3, n_shingles=2, component_id=3)"])
-    kept = ngram_join.one_of_each_group(docs.where("doc_id is not null").unionByName(spark.createDataFrame([(9, "x", 1), (9, "x", 1)], schema)))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9] and kept.columns == docs.columns
+    want = [(None, 2, 3), (None, 0, None), (5, 2, 3), (5, 2, 3), (3, 2, 3), (None, 2, 8), (8, 2, 8), (8, 2, 8), (9, 2, 8), (None, 0, None), (None, 1, None)]
+    assert got == sorted(f"Row(doc_id={i}, n_shingles={n}, component_id={c})" for i, n, c in want)
+    kept = ngram_join.one_of_each_group(docs.unionByName(spark.createDataFrame([(10, "x", 1), (10, "x", 1)], schema)))
+    left = sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    assert left == sorted(map(str, [(3, "A B C D E F"), (8, "p q r s t u"), (8, "u t s r q p"), (None, None), (None, ""), (None, "solo"), (10, "x")]))
+    assert kept.columns == docs.columns
 
 
 def test_components_of_a_chain(spark):
@@ -100,10 +131,12 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100}
 
 
-def test_repeated_passages_equal_all_pairs(spark):
+@pytest.mark.parametrize("ids", ["own", "none"])
+def test_repeated_lines_equal_all_pairs(spark, ids):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
     passage = [word() for _ in range(60)]
+    long = [word() for _ in range(3000)]  # a line whose set is cut into blocks
     docs = {}
     for i in range(40):
         lines = [" ".join(word() for _ in range(rng.choice((3, 30, 70)))) for _ in range(3)]
@@ -112,22 +145,26 @@ def test_repeated_passages_equal_all_pairs(spark):
             if i % 2:
                 w[rng.randrange(60)] = word()
             lines.insert(rng.randrange(4), " ".join(w))
+        if i in (5, 20):
+            lines.append(" ".join([*long, *[word() for _ in range(i)]]))
         docs[i] = "\n".join(lines)
-    docs[50] = None
-    df = spark.createDataFrame([(i, x, 1) for i, x in docs.items()], "doc_id long, text string, para int").repartition(3)
+    docs[50], docs[51] = None, ""
+    table = [(i if ids == "own" else None, x, 1) for i, x in docs.items()]
+    df = spark.createDataFrame(table, "doc_id long, text string, para int").coalesce(1)
     sets = {(i, k): plain_set(line) for i, x in docs.items() for k, line in enumerate((x or "").split("\n")) if len(line.split()) >= substring_dedup.MIN_WORDS}
     comp = plain_components(sets)
     size = defaultdict(int)
     for c in comp.values():
         size[c] += 1
     want = {p: c for p, c in comp.items() if size[c] > 1}
-    got = substring_dedup.repeated_passages(df).collect()
-    assert {(r["doc_id"], r["para"]): (r["keep_doc_id"], r["keep_para"]) for r in got} == want
-    assert all(docs[r["doc_id"]][r["start"] : r["end"]] == docs[r["doc_id"]].split("\n")[r["para"]] for r in got)
-    assert {(r["doc_id"], r["para"]) for r in got if not r["removed"]} == set(want.values())
-    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(df).collect()}
-    for i, x in docs.items():
-        assert left[i] == (None if x is None else "\n".join(line for k, line in enumerate(x.split("\n")) if (i, k) not in want or want[i, k] == (i, k)))
+    begin = lambda i, k: sum(len(line) + 1 for line in docs[i].split("\n")[:k])
+    name = lambda i: i if ids == "own" else None
+    places = sorted(str((name(p[0]), begin(*p), begin(*p) + len(docs[p[0]].split("\n")[p[1]]), name(c[0]), begin(*c), p != c)) for p, c in want.items())
+    got = substring_dedup.repeated_passages(df, kinds=("paragraph",)).collect()
+    assert sorted(str((r["doc_id"], r["start"], r["end"], r["keep_doc_id"], r["keep_start"], r["removed"])) for r in got) == places and {r["kind"] for r in got} == {"paragraph"}
+    left = sorted(str((r["doc_id"], r["text"])) for r in substring_dedup.remove_passages(df).collect())
+    plain = {i: None if x is None else "\n".join(line for k, line in enumerate(x.split("\n")) if (i, k) not in want or want[i, k] == (i, k)) for i, x in docs.items()}
+    assert left == sorted(str((name(i), x)) for i, x in plain.items())
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
