@@ -100,13 +100,15 @@ def with_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.withColumn("__row", own)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str = "size", total: int | None = None) -> DataFrame:
     """``rows.join(table, keys)`` for a stored ``table`` of one row a key that says how many ``rows`` have it.
 
     Keys with more than a quarter of a partition's fair share, of which there are fewer than
     four for each partition, meet their rows on the map side; only the others are shuffled.
+    ``total`` is the sum of the sizes, where it is known.
     """
-    total = table.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(size)).first()[0] or 0
     share = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heavy = F.broadcast(table.where(F.col(size) > share).drop(size)) if share else None
     light = table.where(F.col(size) <= share).drop(size) if share else table.drop(size)

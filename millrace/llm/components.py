@@ -18,6 +18,7 @@ blocks meet, and their counts are accumulated.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, spread_join, stored
 
-#: Pivots of a list, by round; the last number is for all rounds after.
-PIVOTS = (1, 1, 4, 16, 64)
+#: Pivots of a list at most, by round; the last number is for all rounds after.
+PIVOTS = (1, 64, 256)
+#: Components are brought up to date when the links of the last rounds are at least one for so many open postings.
+WORTH = 100
 #: Columns of a set that stand in one row, about.
 BLOCK_COLUMNS = 1024
 
@@ -73,11 +76,11 @@ def set_rows(ids: list[int], sizes: list[int], sets: list[np.ndarray]) -> pa.Rec
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component``: for each id in ``edges(a, b)`` the smallest id that it reaches. Alternates large stars and small stars until nothing changes; each group is reduced to its minimum before it is shuffled."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("size")))
-        large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = spread_join(both.where("b > a"), least, ["a"], total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
         # After the large stars every id has few smaller neighbours.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -87,7 +90,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, n = seen, seen[0]
     heads = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(heads)
 
@@ -139,36 +142,51 @@ def linked_components(postings: DataFrame, sets: DataFrame, percent: int) -> Dat
     def may_link(n: Column, room_of_n: Column, m: Column, room_of_m: Column) -> Column:
         return (100 * n >= percent * m) & (100 * m >= percent * n) & (m <= room_of_n) & (n <= room_of_m)
 
+    waiting: list[DataFrame] = []
+
+    def up_to_date() -> DataFrame | None:
+        now = with_links(labels, functools.reduce(DataFrame.unionByName, waiting)) if waiting else labels
+        forget(*waiting, *([labels] if waiting and labels is not None else []))
+        waiting.clear()
+        return now
+
+    found = 0
     for k in itertools.count():
         if labels is None:
             marked = lists.withColumn("label", F.col("id"))
         else:
             marked = lists.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # A list whose members are all in one component has nothing more to say, nor has a member that is too large or has too little room for all others.
-        ends = [F.min("label").alias("lo"), F.max("label").alias("hi")]
-        keys = stored(marked.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("room").alias("most"), *ends).where("lo <> hi").drop("lo", "hi"))
-        here = stored(spread_join(marked, keys, ["key"]).where("room >= least and n <= most").select("key", "id", "n", "u", "room", "label"))
-        forget(keys, *done)
+        here = stored(marked.select("key", "id", "n", "u", "room", "label"))
+        forget(*done)
         some = PIVOTS[min(k, len(PIVOTS) - 1)]
         best = F.max(F.struct((F.col("u") / F.col("n")).alias("x"), F.xxhash64("id", F.lit(k)).alias("y"), *[F.col(c).alias(c) for c in ("id", "n", "room", "label")])).alias("p")
-        picked = here.groupBy("key", F.pmod(F.xxhash64("id", F.lit(k)), F.lit(some)).alias("part")).agg(best, F.count("*").alias("size"), *ends)
-        picked = stored(picked.groupBy("key").agg(F.collect_list("p").alias("pivots"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").drop("lo", "hi"))
-        if not picked.limit(1).count():
-            forget(here, picked)
+        bounds = {"lo": F.min("label"), "hi": F.max("label"), "least": F.min("n"), "most": F.max("room")}
+        parts = here.groupBy("key", F.pmod(F.xxhash64("id", F.lit(k)), F.lit(some)).alias("part")).agg(best, F.count("*").alias("size"), *[x.alias(c) for c, x in bounds.items()])
+        again = {"lo": F.min("lo"), "hi": F.max("hi"), "least": F.min("least"), "most": F.max("most")}
+        # A list whose members are all in one component has nothing more to say.
+        picked = stored(parts.groupBy("key").agg(F.collect_list("p").alias("pivots"), F.sum("size").alias("size"), *[x.alias(c) for c, x in again.items()]).where("lo <> hi").drop("lo", "hi"))
+        total = picked.agg(F.sum("size")).first()[0]
+        done = [here, picked]
+        if not total:
+            forget(*done)
             break
-        open_lists = spread_join(here, picked, ["key"])
+        # Nor has a member that is too large or has too little room for all others.
+        open_lists = spread_join(here, picked, ["key"], total=total).where("room >= least and n <= most")
         p = F.col("p")
         met = open_lists.withColumn("p", F.explode("pivots")).where((F.col("label") != p["label"]) & may_link(F.col("n"), F.col("room"), p["n"], p["room"]))
         first = F.col("id") < p["id"]
         pairs = met.select(F.least("id", p["id"]).alias("a"), F.greatest("id", p["id"]).alias("b"), F.when(first, F.col("n")).otherwise(p["n"]).alias("na"), F.when(first, p["n"]).otherwise(F.col("n")).alias("nb")).distinct()
         new = stored(verified(pairs, sets, percent))
-        if new.limit(1).count():
-            before, labels = labels, with_links(labels, new)
-            if before is not None:
-                forget(before)
-        forget(new)
+        n_new = new.count()
+        if n_new:
+            found += n_new
+            waiting.append(new)
+        else:
+            forget(new)
+        if found * WORTH >= total:
+            labels, found = up_to_date(), 0
         lists = open_lists.where(~F.exists("pivots", lambda x: x["id"] == F.col("id"))).select("key", "id", "n", "u", "room")
-        done = [here, picked]
+    labels = up_to_date()
     if labels is None:
         return sets.sparkSession.createDataFrame([], "id long, component long")
     return labels

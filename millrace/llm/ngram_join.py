@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
 from millrace.llm.components import BLOCK_COLUMNS, column_blocks_of, linked_components
-from millrace.llm.text_arrays import set_print, shingle_sets
+from millrace.llm.text_arrays import frequent, set_print, shingle_sets
 
 #: Entries that a task gathers before it sends blocks, and sorts at a time; classes it remembers.
 FLUSH_ENTRIES, SORT_ENTRIES = 1_000_000, 500_000
 SEEN_LIMIT = 2_000_000
 COLUMN_BYTES = 6
+#: A column that so many documents of a task's entries have is known to be frequent: it isn't counted in its block.
+FREQUENT = 255
 
 
 def set_prints(rows: DataFrame, n: int) -> DataFrame:
@@ -72,29 +74,37 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
     """``block, payload``: the entries of the matrix by block of columns, for one document of each class and task.
 
     Of a column, the block's number and ``COLUMN_BYTES`` bytes are kept: enough for chance
-    to make two columns of a pair of documents one about once in 2^50.
+    to make two columns of a pair of documents one about once in 2^50. Entries of columns
+    that are frequent in a task don't meet in one place: they travel apart (as block -1 and
+    below) and leave a mark, a document of size 0, in the column's block.
     """
 
-    def packed(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    def payload(ids: np.ndarray, sizes: np.ndarray, own: np.ndarray, *columns: np.ndarray) -> bytes:
+        first = np.flatnonzero(np.append(True, np.diff(own) != 0))
+        docs = own[first]
+        count = np.diff(np.append(first, len(own))).astype(np.int32)
+        return b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), steps(ids[docs]), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), *[x.tobytes() for x in columns]])
+
+    def packed(row_ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([*row_ids, row_ids[-1]], np.int64)
+        sizes = np.array([*map(len, sets), 0], np.int64)
         h = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        often = frequent(h, FREQUENT)
+        if often.any():
+            mine = h[often]
+            keys = (mine // np.uint64(blocks) & np.uint64((1 << 8 * COLUMN_BYTES) - 1)) * np.uint64(blocks) + mine % np.uint64(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - row_ids[0] % blocks], pa.int32()), pa.array([payload(ids, sizes, owner[often], keys)], pa.binary())], ["block", "payload"])
+            marks = np.unique(mine)
+            h, owner = np.append(h[~often], marks), np.append(owner[~often], np.full(len(marks), len(sets), np.int32))
         block = (h % np.uint64(blocks)).astype(np.int32)
         order = np.argsort(block, kind="stable")
         column, owner, block = h[order] // np.uint64(blocks), owner[order], block[order]
         low, high = column.astype(np.uint32), (column >> np.uint64(32)).astype(np.uint16)
         cuts = np.searchsorted(block, np.arange(blocks + 1))
-        all_ids = np.array(ids, np.int64)
         for at in range(0, blocks, 64):
-            names, payloads = [], []
-            for b in range(at, min(at + 64, blocks)):
-                own = owner[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    first = np.flatnonzero(np.append(True, np.diff(own) != 0))
-                    docs = own[first]
-                    count = np.diff(np.append(first, len(own))).astype(np.int32)
-                    names.append(b)
-                    payloads.append(b"".join([np.int64(len(docs)).tobytes(), np.int64(len(own)).tobytes(), steps(all_ids[docs]), sizes[docs].astype(np.int32).tobytes(), count.tobytes(), low[cuts[b] : cuts[b + 1]].tobytes(), high[cuts[b] : cuts[b + 1]].tobytes()]))
+            names = [b for b in range(at, min(at + 64, blocks)) if cuts[b] < cuts[b + 1]]
+            payloads = [payload(ids, sizes, *[x[cuts[b] : cuts[b + 1]] for x in (owner, low, high)]) for b in names]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +132,16 @@ def column_blocks(rows: DataFrame, n: int, blocks: int) -> DataFrame:
 
 
 def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
-    """``block, payload``: by block of rows, the columns (as longs) that two or more documents have, with how many do (255: that many or more)."""
+    """``block, payload``: by block of rows, the columns (as longs) that two or more documents have, with how many do (FREQUENT: that many or more)."""
 
     def decoded(raws: list[tuple[int, bytes]], part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and the numbers of their rows, of one part of the columns."""
-        keys, owners, row = [], [], 0
+        keys, owners, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
         for block, raw in raws:
             k, m = map(int, np.frombuffer(raw, np.int64, 2))
+            if block < 0:
+                row += k
+                continue
             column = np.frombuffer(raw, np.uint16, m, 16 + 16 * k + 4 * m).astype(np.uint64) << np.uint64(32)
             column |= np.frombuffer(raw, np.uint32, m, 16 + 16 * k)
             own = column % np.uint64(parts) == part
@@ -145,19 +158,26 @@ def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
         all_ids = np.concatenate([np.cumsum(np.frombuffer(raw, np.int64, k, 16)) for (_, raw), (k, _) in zip(raws, shapes, strict=True)])
         all_sizes = np.concatenate([np.frombuffer(raw, np.int32, k, 16 + 8 * k) for (_, raw), (k, _) in zip(raws, shapes, strict=True)])
         # Sorted a part at a time: what is in memory at once is in proportion to the part.
-        parts = -(-sum(m for _, m in shapes) // SORT_ENTRIES)
-        found = []
+        parts = -(-sum(m for (block, _), (_, m) in zip(raws, shapes, strict=True) if block >= 0) // SORT_ENTRIES)
+        mark = all_sizes == 0
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8))]
         for part in range(parts):
             h, owner = decoded(raws, part, parts)
             order = np.argsort(h)
             h, owner = h[order], owner[order]
             del order
-            same = h[1:] == h[:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            h, owner = h[keep], owner[keep]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             times = np.diff(np.append(first, len(h)))
-            found.append((h, owner, np.repeat(np.minimum(times, 255).astype(np.uint8), times)))
+            if len(first):
+                df = np.minimum(times + FREQUENT * np.maximum.reduceat(mark[owner], first), FREQUENT).astype(np.uint8)
+                keep = np.repeat(df > 1, times) & ~mark[owner]
+                found.append((h[keep], owner[keep], np.repeat(df, times)[keep]))
+        row = 0
+        for (block, raw), (k, m) in zip(raws, shapes, strict=True):
+            if block < 0:
+                owner = np.repeat(np.arange(row, row + k, dtype=np.int32), np.frombuffer(raw, np.int32, k, 16 + 12 * k))
+                found.append((np.frombuffer(raw, np.uint64, m, 16 + 16 * k), owner, np.full(m, FREQUENT, np.uint8)))
+            row += k
         del raws
         h, owner, df = (np.concatenate([x[k] for x in found]) for k in range(3))
         del found

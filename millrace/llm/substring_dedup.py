@@ -4,7 +4,7 @@ Two kinds of paragraph are banded, in one scan, and joined where they collide:
 
 * a line of at least ``MIN_WORDS`` words, with the set of its 5-word shingles. Lines with
   equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum hashes each, a shape with a
-  recall of 0.999998 at a similarity of 0.75, tell which classes collide; those are compared,
+  recall of 0.99995 at a similarity of 0.75, tell which classes collide; those are compared,
   by pivots of each band, and linked where their exact Jaccard similarity is 0.75 or more;
 * each window of ``RUN`` words, wherever lines begin and end (see ``shared_runs``). One minimum
   hash is band enough, since what collides is linked only where it is equal word by word.
@@ -34,14 +34,16 @@ from pyspark.sql import functions as F
 from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
 from millrace.llm.components import SET_ROWS, linked_components, set_rows
 from millrace.llm.shared_runs import RUN, Hashed, classes_of, segments, spans_of
-from millrace.llm.text_arrays import _BASE, mixed, place_words, shingle_sets, shingles, word_hashes
+from millrace.llm.text_arrays import _BASE, frequent, mixed, place_words, shingle_sets, shingles, word_hashes
 
 MIN_WORDS, PERCENT, SHINGLE = 25, 75, 5
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 12, 2
 KINDS = ("paragraph", "run")
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Classes that a task remembers, to compute bands once for each, and band keys that it gathers or sorts at a time.
 SEEN_LIMIT, KEYS_AT_ONCE = 500_000, 1_000_000
+#: A band key that so many classes of a task's keys have collides: they needn't meet in one place.
+FREQUENT = 255
 
 
 def band_keys(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ def band_keys(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys
 
 
-#: Paragraphs: kind, place (document, row, number of the first word, code points), size (of the set, or in windows), prints (a, b) and, once for each class of lines and task, bands. ``mid`` ends a segment's first window.
+#: Paragraphs: kind, place (document, row, number of the first word, code points), size (of the set, or in windows), a (of a line its class, of a segment its minimum), b (of a segment the hash of all words) and, once for each class of lines and task, bands. ``mid`` ends a segment's first window.
 FOUND = "kind int, doc_id long, row long, at int, n int, n_words int, start int, mid int, end int, a long, b long, bands binary"
 
 
@@ -63,7 +65,7 @@ def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str,
     names = [x.split(" ")[0] for x in FOUND.split(", ")]
 
     def lines(words: np.ndarray, starts: np.ndarray, feeds: np.ndarray, seen: set) -> tuple:
-        """First word, words, line start, line end, size of the set, prints and bands of the lines that are long enough."""
+        """First word, words, line start, line end, size of the set, class and bands of the lines that are long enough."""
         line = np.searchsorted(feeds, starts)
         change = np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
         count = np.diff(np.append(change, len(line)))
@@ -81,8 +83,9 @@ def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str,
         at = np.cumsum(size) - size
         p1 = np.add.reduceat(x, at) if len(x) else x
         p2 = np.add.reduceat(mixed(x ^ _BASE), at) if len(x) else x
+        own = mixed(p1 ^ mixed(p2 + size.astype(np.uint64)))
         fresh = np.zeros(len(m), bool)
-        for k, key in enumerate(zip(size.tolist(), p1.tolist(), p2.tolist(), strict=True)):
+        for k, key in enumerate(own.tolist()):
             if key not in seen:
                 if len(seen) >= SEEN_LIMIT:
                     seen.clear()
@@ -92,10 +95,10 @@ def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str,
         if fresh.any():
             for k, keys in zip(np.flatnonzero(fresh).tolist(), band_keys(x[fresh[owner]], size[fresh]), strict=True):
                 bands[k] = keys.tobytes()
-        return first, count, np.append(0, feeds + 1)[line], feeds[line], size, p1, p2, bands
+        return first, count, np.append(0, feeds + 1)[line], feeds[line], size, own, bands
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int, int]] = set()
+        seen: set[int] = set()
 
         def packed(kind: int, batch: pa.RecordBatch, doc: np.ndarray, first_word: np.ndarray, *columns: object) -> pa.RecordBatch:
             of = pa.array(doc)
@@ -110,9 +113,9 @@ def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str,
             first_of = np.cumsum(counts) - counts
             of = np.repeat(np.arange(len(texts)), counts)
             if "paragraph" in kinds and len(words):
-                first, n_words, begin, end, size, p1, p2, bands = lines(words, starts, feeds, seen)
+                first, n_words, begin, end, size, own, bands = lines(words, starts, feeds, seen)
                 doc = of[first]
-                yield packed(0, batch, doc, first - first_of[doc], size, n_words, begin - origin[doc], end - origin[doc], end - origin[doc], p1, p2, bands)
+                yield packed(0, batch, doc, first - first_of[doc], size, n_words, begin - origin[doc], end - origin[doc], end - origin[doc], own, np.zeros(len(doc), np.uint64), bands)
             if "run" in kinds:
                 doc, at, n, least, whole = segments(words, counts, run)
                 if len(at):
@@ -122,44 +125,71 @@ def find_paragraphs(rows: DataFrame, min_words: int, run: int, kinds: tuple[str,
 
 
 def colliding(classes: DataFrame, blocks: int) -> DataFrame:
-    """``key, id, n``: the band keys that two or more of ``classes(id, n, bands)`` have. Keys travel packed, by block."""
+    """``key, id, n``: the band keys that two or more of ``classes(id, n, bands)`` have.
+
+    Keys travel packed, by block. Those that are frequent in a task don't meet in one place:
+    they travel apart (as block -1 and below) and leave a mark, a class of size 0, in their block.
+    """
+
+    def payload(key: np.ndarray, i: np.ndarray, n: np.ndarray) -> bytes:
+        return b"".join([key.tobytes(), i.tobytes(), n.astype(np.int32).tobytes()])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, KEYS_AT_ONCE // BANDS):
                 part = batch.slice(at, KEYS_AT_ONCE // BANDS)
                 key = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
-                owner = np.repeat(np.arange(part.num_rows), BANDS)
+                i, n = (np.repeat(part.column(k).to_numpy(), BANDS) for k in (0, 1))
+                often = frequent(key, FREQUENT)
+                names, payloads = [], []
+                if often.any():
+                    names.append(-1 - int(i[0]) % blocks)
+                    payloads.append(payload(key[often], i[often], n[often]))
+                    marks = np.unique(key[often])
+                    none = np.zeros(len(marks), np.int64)
+                    key, i, n = np.append(key[~often], marks), np.append(i[~often], none), np.append(n[~often], none)
                 block = (key % np.uint64(blocks)).astype(np.int32)
                 order = np.argsort(block, kind="stable")
-                key, owner = key[order], owner[order]
+                key, i, n = key[order], i[order], n[order]
                 cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-                ids, n = part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.int32)
-                used = np.flatnonzero(np.diff(cuts)).tolist()
-                payloads = [b"".join([key[cuts[b] : cuts[b + 1]].tobytes(), np.diff(ids[owner[cuts[b] : cuts[b + 1]]], prepend=0).tobytes(), n[owner[cuts[b] : cuts[b + 1]]].tobytes()]) for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    names.append(b)
+                    payloads.append(payload(*[x[cuts[b] : cuts[b + 1]] for x in (key, i, n)]))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], ["block", "payload"])
+
+    def rows(key: np.ndarray, i: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 100_000):
+            arrays = [pa.array(x[at : at + 100_000]) for x in (key.view(np.int64), i, n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "n"])
+
+    def arrays_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = len(raw) // 20
+        return np.frombuffer(raw, np.uint64, m), np.frombuffer(raw, np.int64, m, 8 * m), np.frombuffer(raw, np.int32, m, 16 * m)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raws = [x for batch in batches for x in batch.column(1).to_pylist()]
-        total = sum(map(len, raws)) // 20
-        parts = -(-total // KEYS_AT_ONCE)
+        raws = []
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block < 0:
+                    yield from rows(*arrays_of(raw))
+                else:
+                    raws.append(raw)
+        parts = -(-sum(map(len, raws)) // (20 * KEYS_AT_ONCE))
         for part in range(parts):
-            keys, ids, sizes = [], [], []
+            own = []
             for raw in raws:
-                m = len(raw) // 20
-                key = np.frombuffer(raw, np.uint64, m)
-                own = (key // np.uint64(blocks)) % np.uint64(parts) == part
-                keys.append(key[own])
-                ids.append(np.cumsum(np.frombuffer(raw, np.int64, m, 8 * m))[own])
-                sizes.append(np.frombuffer(raw, np.int32, m, 16 * m)[own])
-            key, i, n = (np.concatenate(x) for x in (keys, ids, sizes))
-            order = np.argsort(key, kind="stable")
+                key, i, n = arrays_of(raw)
+                mine = (key // np.uint64(blocks)) % np.uint64(parts) == part
+                own.append((key[mine], i[mine], n[mine]))
+            key, i, n = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.lexsort((n, i, key))
             key, i, n = key[order], i[order], n[order]
+            # Of what several tasks sent of one class, one is enough.
+            one = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (n[1:] != n[:-1]))[: len(key)]
+            key, i, n = key[one], i[one], n[one]
             same = key[1:] == key[:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            key, i, n = key[keep], i[keep], n[keep]
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.uint64).view(np.int64)) for x in (key, i, n)], ["key", "id", "n"])
+            keep = (np.append(same, False) | np.append(False, same))[: len(key)] & (n > 0)
+            yield from rows(key[keep], i[keep], n[keep])
 
     sent = map_batches(classes, send, "block int, payload binary").repartition(blocks, "block")
     return map_batches(sent, meet, "key long, id long, n long")
@@ -221,24 +251,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
 def passages_of_rows(rows: DataFrame, min_words: int, percent: int, run: int, kinds: tuple[str, ...]) -> DataFrame:
     """The same, with ``row``, for ``rows(doc_id, row, text)``."""
     found = stored(find_paragraphs(rows, min_words, run, kinds))
-    lines, runs = found.where("kind = 0").drop("kind"), found.where("kind = 1").drop("kind", "bands")
+    lines = found.where("kind = 0").select("doc_id", "row", "at", "n", "n_words", "start", "end", F.col("a").alias("id"))
+    met = stored(colliding(found.where("bands is not null").select(F.col("a").alias("id"), "n", "bands"), n_blocks(rows)))
+    # Lines that occur once and collide with none are most of all, and end here.
+    near = met.select("id", F.lit(True).alias("near")).distinct()
+    again = stored(lines.groupBy("id").agg(F.count("*").alias("size")).join(near, "id", "left").where("size > 1 or near"))
+    lines = stored(spread_join(lines, again.drop("near"), ["id"]))
     # One of each class, summed up before it is shuffled: a passage in a third of all documents is one row from each task.
-    place = F.struct("doc_id", "row", "at", "start", "end")
-    classes = stored(lines.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("size"), F.max("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
-    met = stored(colliding(classes.select("id", "n", "bands"), n_blocks(rows)))
+    classes = stored(lines.groupBy("id", "n").agg(F.min(F.struct("doc_id", "row", "at", "start", "end")).alias("first"), F.count("*").alias("size")))
+    runs = found.where("kind = 1").drop("kind", "bands")
+    anchors = stored(runs.groupBy("a").agg(F.count("*").alias("size")).where("size > 1"))
+    runs = stored(spread_join(runs, anchors, ["a"]))
+    forget(found, anchors)
     run_classes = classes_of(runs)
-    none = F.lit(None).cast("long")
-    asked_lines = classes.join(met.select("id").distinct(), "id", "left_semi").select(F.lit(0).alias("kind"), "first.row", "id", "first.at", "n", "first.start", "first.end", "a", "b")
+    none = F.lit(0).cast("long")
+    asked_lines = classes.join(again.where("near"), "id", "left_semi").select(F.lit(0).alias("kind"), "first.row", "id", "first.at", "n", "first.start", "first.end", none.alias("a"), none.alias("b"))
     asked_runs = run_classes.where("met").select(F.lit(1).alias("kind"), "first.row", none.alias("id"), "first.at", "n", "first.start", "first.end", "a", "b")
     read = stored(read_again(rows, asked_lines.unionByName(asked_runs), run))
     linked = linked_components(met.withColumn("u", F.col("n")), read.where("kind = 0").select("id", "n", "blocks", "block", "h"), percent)
-    clusters = stored(classes.drop("bands").join(linked, "id", "left").withColumn("cluster", F.coalesce("component", "id")))
+    clusters = stored(classes.join(linked, "id", "left").withColumn("cluster", F.coalesce("component", "id")))
     heads = stored(clusters.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min("first").alias("keep")).where("total > 1").drop("total"))
-    kept = stored(spread_join(clusters.withColumnRenamed("size", "rows"), heads, ["cluster"]).select("n", "a", "b", "keep", F.col("rows").alias("size")))
-    forget(classes, met, clusters, heads)
+    kept = stored(spread_join(clusters.withColumnRenamed("size", "rows"), heads, ["cluster"]).select("id", "keep", F.col("rows").alias("size")))
+    forget(met, again, classes, clusters, heads)
     first = (F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))
     columns = ["kind", "doc_id", "row", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), (~first).alias("removed")]
-    of_lines = spread_join(lines.drop("bands"), kept, ["n", "a", "b"]).withColumn("kind", F.lit(KINDS[0])).select(*columns)
+    of_lines = spread_join(lines, kept, ["id"]).withColumn("kind", F.lit(KINDS[0])).select(*columns)
     windows = read.where("kind = 1").select("a", "b", F.col("n").cast("int").alias("n"), "doc_id", "row", "at", "start", "stop", F.col("hash").alias("h"))
     of_runs = spans_of(runs, run_classes, windows, run).withColumn("kind", F.lit(KINDS[1]))
     return of_lines.unionByName(of_runs)

@@ -102,3 +102,13 @@ def place_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     change = np.flatnonzero(inside[1:] != inside[:-1])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return change[::2], change[1::2], np.cumsum(sizes) - sizes, np.flatnonzero(codes == 10)
+
+
+def frequent(x: np.ndarray, least: int) -> np.ndarray:
+    """Which of the numbers occur at least so many times."""
+    bucket = (x & np.uint64(0xFFFFF)).astype(np.int64)
+    out = (np.bincount(bucket, minlength=1 << 20) >= least)[bucket]
+    if out.any():
+        _, of, times = np.unique(x[out], return_inverse=True, return_counts=True)
+        out[out] = (times >= least)[of]
+    return out
