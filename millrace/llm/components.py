@@ -23,14 +23,13 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, spread_join, stored
 
 #: Pivots of a list at most, by round; the last number is for all rounds after.
-PIVOTS = (1, 64, 256)
+PIVOTS = (1, 1, 4, 16, 64)
 #: Components are brought up to date when the links of the last rounds are at least one for so many open postings.
 WORTH = 100
 #: Columns of a set that stand in one row, about.
@@ -63,16 +62,6 @@ def column_blocks_of(columns: np.ndarray, n: int) -> Iterator[tuple[int, int, np
             yield blocks // 2, k % (blocks // 2), part
 
 
-SET_ROWS = "id long, n long, blocks long, block long, h array<long>"
-
-
-def set_rows(ids: list[int], sizes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of ``SET_ROWS`` for sets of columns."""
-    found = [(i, n, *x) for i, n, h in zip(ids, sizes, sets, strict=True) for x in column_blocks_of(h, n)]
-    columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([x[4].view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "n", "blocks", "block", "h"])
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component``: for each id in ``edges(a, b)`` the smallest id that it reaches. Alternates large stars and small stars until nothing changes; each group is reduced to its minimum before it is shuffled."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -114,7 +103,7 @@ def with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b, na, nb)``, na and nb the sizes, those whose sets are linked: 100 * intersection >= percent * union, above 50 per cent.
 
-    ``sets``: see ``SET_ROWS``; h may leave out members that no other set has.
+    ``sets(id, n, blocks, block, h)`` has a row for each of ``column_blocks_of``; h may leave out members that no other set has.
     """
     if percent <= 50:
         raise ValueError("sets that differ by more than half in size aren't cut alike")
@@ -173,7 +162,8 @@ def linked_components(postings: DataFrame, sets: DataFrame, percent: int) -> Dat
         # Nor has a member that is too large or has too little room for all others.
         open_lists = spread_join(here, picked, ["key"], total=total).where("room >= least and n <= most")
         p = F.col("p")
-        met = open_lists.withColumn("p", F.explode("pivots")).where((F.col("label") != p["label"]) & may_link(F.col("n"), F.col("room"), p["n"], p["room"]))
+        asked = F.filter("pivots", lambda x: (F.col("label") != x["label"]) & may_link(F.col("n"), F.col("room"), x["n"], x["room"]))
+        met = open_lists.withColumn("p", F.explode(asked))
         first = F.col("id") < p["id"]
         pairs = met.select(F.least("id", p["id"]).alias("a"), F.greatest("id", p["id"]).alias("b"), F.when(first, F.col("n")).otherwise(p["n"]).alias("na"), F.when(first, p["n"]).otherwise(F.col("n")).alias("nb")).distinct()
         new = stored(verified(pairs, sets, percent))

@@ -74,26 +74,25 @@ def classes_of(found: DataFrame) -> DataFrame:
     """Classes of ``found(doc_id, row, at, n, start, mid, end, a, b)``, a the minimum and b the hash: ``size``, the ``first`` place and whether the minimum is ``met`` by others."""
     place = F.struct("doc_id", "row", "at", "start", F.col("mid").alias("stop"), "end")
     classes = stored(found.groupBy("a", "b", "n").agg(F.count("*").alias("size"), F.min(place).alias("first")))
-    several = classes.groupBy("a").agg(F.count("*").alias("classes")).where("classes > 1").select("a", F.lit(True).alias("met"))
-    out = stored(classes.join(several, "a", "left").withColumn("met", F.coalesce("met", F.lit(False))))
-    forget(classes)
+    several = stored(classes.groupBy("a").agg(F.count("*").alias("classes")).withColumn("met", F.col("classes") > 1))
+    out = stored(spread_join(classes, several, ["a"], size="classes"))
+    forget(classes, several)
     return out
 
 
 def spans_of(found: DataFrame, classes: DataFrame, windows: DataFrame, run: int) -> DataFrame:
     """``doc_id, row, start, end, n_words, keep_doc_id, keep_start, removed`` of all spans of windows that occur again.
 
-    ``windows(a, b, n, doc_id, row, at, start, stop, h)`` are those of the first segments of
-    the classes that meet others.
+    ``windows(a, b, n, doc_id, row, at, start, stop, h, size, head)`` are those of the first
+    segments of the classes that meet others; ``size`` is the class's, ``head`` marks the first.
     """
     place = F.struct("doc_id", "row", "at", "start", "stop")
-    sized = windows.join(classes.select("a", "b", "n", "size"), ["a", "b", "n"])
-    groups = stored(sized.groupBy("a", "h").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min(place).alias("keep")).where("total > 1").drop("total"))
-    parts = spread_join(windows, groups, ["a", "h"])
+    groups = stored(windows.groupBy("a", "h").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min(place).alias("keep")).where("total > 1").drop("total"))
+    parts = spread_join(windows.drop("size"), groups, ["a", "h"])
     columns = ["doc_id", "row", "at", "until", "start", "end", "keep"]
     met = parts.withColumn("until", F.col("at") + run).withColumn("end", F.col("stop")).select(*columns)
     # The first window of a class's first segment: what stays of it stands for the class.
-    heads = parts.join(classes.select("a", "b", "n", F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.at").alias("t")), ["a", "b", "n"]).where("row = r and at = t").select("a", "b", "n", F.col("keep").alias("head"))
+    heads = parts.where("head").select("a", "b", "n", F.col("keep").alias("head"))
     again = classes.where("size > 1").join(heads, ["a", "b", "n"], "left")
     own = F.struct(*[F.col(f"first.{c}").alias(c) for c in ("doc_id", "row", "at", "start", "stop")])
     again = stored(again.select("a", "b", "n", "size", "met", "first", F.coalesce("head", own).alias("keep")))

@@ -4,8 +4,11 @@ Two kinds of paragraph are banded, in one scan, and joined where they collide:
 
 * a line of at least ``MIN_WORDS`` words, with the set of its 5-word shingles. Lines with
   equal sets are one class. ``BANDS`` bands of ``ROWS`` minimum hashes each, a shape with a
-  recall of 0.99995 at a similarity of 0.75, tell which classes collide; those are compared,
-  by pivots of each band, and linked where their exact Jaccard similarity is 0.75 or more;
+  recall of 0.99995 at a similarity of 0.75, tell which classes collide. Those alone are
+  joined, on shingles of theirs that a linked pair must share (bands are so wide that
+  thousands of lines with half their text in common would collide pair by pair; the bounds
+  of ``ngram_join`` keep such pairs from being proposed), and linked where their exact Jaccard
+  similarity is 0.75 or more;
 * each window of ``RUN`` words, wherever lines begin and end (see ``shared_runs``). One minimum
   hash is band enough, since what collides is linked only where it is equal word by word.
 
@@ -32,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
-from millrace.llm.components import SET_ROWS, linked_components, set_rows
+from millrace.llm.components import linked_components
+from millrace.llm.ngram_join import first_columns, sparse_matrix
 from millrace.llm.shared_runs import RUN, Hashed, classes_of, segments, spans_of
-from millrace.llm.text_arrays import _BASE, frequent, mixed, place_words, shingle_sets, shingles, word_hashes
+from millrace.llm.text_arrays import _BASE, frequent, mixed, place_words, shingles, word_hashes
 
 MIN_WORDS, PERCENT, SHINGLE = 25, 75, 5
 BANDS, ROWS = 12, 2
@@ -195,16 +199,16 @@ def colliding(classes: DataFrame, blocks: int) -> DataFrame:
     return map_batches(sent, meet, "key long, id long, n long")
 
 
-#: Read again: for a line (kind 0) a row of its set (see ``SET_ROWS``), for a segment (kind 1) a row for each window.
-READ = f"kind int, {SET_ROWS}, a long, b long, doc_id long, row long, at int, start int, stop int, hash long"
+#: Read again: for a line (kind 0) its text, for a segment (kind 1) a row for each window, with its class's size; the first is marked ``head``.
+READ = "kind int, id long, line binary, n int, a long, b long, doc_id long, row long, at int, start int, stop int, hash long, size long, head boolean"
 
 
 def read_again(rows: DataFrame, asked: DataFrame, run: int) -> DataFrame:
-    """``READ`` of the paragraphs ``asked(kind, row, id, at, n, start, end, a, b)``, in their texts."""
-    lists = stored(asked.groupBy("row").agg(F.collect_list(F.struct("kind", "id", "at", "n", "start", "end", "a", "b")).alias("asked")))
+    """``READ`` of the paragraphs ``asked(kind, row, id, at, n, start, end, a, b, size)``, in their texts."""
+    lists = stored(asked.groupBy("row").agg(F.collect_list(F.struct("kind", "id", "at", "n", "start", "end", "a", "b", "size")).alias("asked")))
     met = rows.join(lists, "row").select("doc_id", "row", "text", "asked")
     schema = [x.split(" ") for x in READ.split(", ")]
-    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
     def filled(n: int, given: dict[str, object]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(given[c]) if c in given and not isinstance(given[c], pa.Array) else given.get(c, pa.nulls(n, types[t])) for c, t in schema], [c for c, _ in schema])
@@ -213,26 +217,23 @@ def read_again(rows: DataFrame, asked: DataFrame, run: int) -> DataFrame:
         for batch in batches:
             owners, texts = [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                kind, i, at, n, start, end, a, b = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).slice(k, 1).flatten().flatten())
+                kind, i, at, n, start, end, a, b, times = (x.to_numpy(zero_copy_only=False) for x in batch.column(3).slice(k, 1).flatten().flatten())
                 line = kind == 0
                 owners += i[line].tolist()
                 texts += [text[x:y].encode("utf-8") for x, y in zip(start[line].tolist(), end[line].tolist(), strict=True)]
                 if line.all():
                     continue
-                at, n, a, b = (x[~line] for x in (at, n, a, b))
+                at, n, a, b, times = (x[~line] for x in (at, n, a, b, times))
                 n = n.astype(np.int64)
                 words, _ = word_hashes([text.encode("utf-8")])
                 starts, ends, _, _ = place_words([text])
                 size = int(n.sum())
                 place = np.repeat(at.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(size)
                 of = pa.array(np.full(size, k))
-                given = {"kind": np.ones(size, np.int32), "n": np.repeat(n, n), "a": np.repeat(a, n), "b": np.repeat(b, n), "doc_id": batch.column(0).take(of), "row": batch.column(1).take(of), "at": place.astype(np.int32), "start": starts[place].astype(np.int32), "stop": ends[place + run - 1].astype(np.int32), "hash": Hashed(words).runs(place, run).view(np.int64)}
+                given = {"kind": np.ones(size, np.int32), "n": np.repeat(n, n).astype(np.int32), "a": np.repeat(a, n), "b": np.repeat(b, n), "doc_id": batch.column(0).take(of), "row": batch.column(1).take(of), "at": place.astype(np.int32), "start": starts[place].astype(np.int32), "stop": ends[place + run - 1].astype(np.int32), "hash": Hashed(words).runs(place, run).view(np.int64), "size": np.repeat(times, n), "head": place == np.repeat(at, n)}
                 yield filled(size, given)
             if owners:
-                sets = shingle_sets(texts, SHINGLE)
-                part = set_rows(owners, [len(x) for x in sets], sets)
-                given = {c: part.column(c) for c in part.schema.names} | {"kind": np.zeros(part.num_rows, np.int32)}
-                yield filled(part.num_rows, given)
+                yield filled(len(owners), {"kind": np.zeros(len(owners), np.int32), "id": pa.array(owners, pa.int64()), "line": pa.array(texts, pa.binary())})
 
     return map_batches(met, work, READ)
 
@@ -265,10 +266,13 @@ def passages_of_rows(rows: DataFrame, min_words: int, percent: int, run: int, ki
     forget(found, anchors)
     run_classes = classes_of(runs)
     none = F.lit(0).cast("long")
-    asked_lines = classes.join(again.where("near"), "id", "left_semi").select(F.lit(0).alias("kind"), "first.row", "id", "first.at", "n", "first.start", "first.end", none.alias("a"), none.alias("b"))
-    asked_runs = run_classes.where("met").select(F.lit(1).alias("kind"), "first.row", none.alias("id"), "first.at", "n", "first.start", "first.end", "a", "b")
+    asked_lines = classes.join(again.where("near"), "id", "left_semi").select(F.lit(0).alias("kind"), "first.row", "id", "first.at", "n", "first.start", "first.end", none.alias("a"), none.alias("b"), "size")
+    asked_runs = run_classes.where("met").select(F.lit(1).alias("kind"), "first.row", none.alias("id"), "first.at", "n", "first.start", "first.end", "a", "b", "size")
     read = stored(read_again(rows, asked_lines.unionByName(asked_runs), run))
-    linked = linked_components(met.withColumn("u", F.col("n")), read.where("kind = 0").select("id", "n", "blocks", "block", "h"), percent)
+    texts = read.where("kind = 0").select(F.col("id").alias("row"), F.col("line").alias("text"))
+    sets = stored(sparse_matrix(texts, SHINGLE, percent, n_blocks(texts)))
+    linked = linked_components(first_columns(sets), sets.where("h is not null"), percent)
+    forget(sets)
     clusters = stored(classes.join(linked, "id", "left").withColumn("cluster", F.coalesce("component", "id")))
     heads = stored(clusters.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("size"), F.min("first").alias("keep")).where("total > 1").drop("total"))
     kept = stored(spread_join(clusters.withColumnRenamed("size", "rows"), heads, ["cluster"]).select("id", "keep", F.col("rows").alias("size")))
@@ -276,7 +280,7 @@ def passages_of_rows(rows: DataFrame, min_words: int, percent: int, run: int, ki
     first = (F.col("row") == F.col("keep.row")) & (F.col("at") == F.col("keep.at"))
     columns = ["kind", "doc_id", "row", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), (~first).alias("removed")]
     of_lines = spread_join(lines, kept, ["id"]).withColumn("kind", F.lit(KINDS[0])).select(*columns)
-    windows = read.where("kind = 1").select("a", "b", F.col("n").cast("int").alias("n"), "doc_id", "row", "at", "start", "stop", F.col("hash").alias("h"))
+    windows = read.where("kind = 1").select("a", "b", "n", "doc_id", "row", "at", "start", "stop", F.col("hash").alias("h"), "size", "head")
     of_runs = spans_of(runs, run_classes, windows, run).withColumn("kind", F.lit(KINDS[1]))
     return of_lines.unionByName(of_runs)
 

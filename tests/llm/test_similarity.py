@@ -100,7 +100,7 @@ def test_lists_of_many_unlinked_sets_are_worked_off(spark, monkeypatch):
         sets[200 + i] = {*range(6), 1000 * i, 1000 * i + 1, 77}
     plain = plain_components({i: frozenset(x) for i, x in sets.items()})
     rows = [(i, len(x), 1, 0, sorted(x)) for i, x in sets.items()]
-    table = spark.createDataFrame(rows, components.SET_ROWS)
+    table = spark.createDataFrame(rows, "id long, n long, blocks long, block long, h array<long>")
     postings = spark.createDataFrame([(1, i, len(x), len(x)) for i, x in sets.items()], "key long, id long, n long, u long")
     got = {r["id"]: r["component"] for r in components.linked_components(postings, table, 75).collect()}
     assert got and got == {i: c for i, c in plain.items() if list(plain.values()).count(c) > 1}
