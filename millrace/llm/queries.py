@@ -27,7 +27,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(1).select(
         F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("t")
     ).select("conv_id", "t.*")
-    back = chat_format.read_back(chat_format.format_conversations(chat_format.as_events(rows.unionByName(own))))
+    back = chat_format.read_back(chat_format.format_conversations(chat_format.as_events(rows.unionByName(own), streamed=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -116,14 +116,14 @@ WITH c AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce("text", '') AS txt FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), d AS (SELECT DISTINCT * FROM c), e AS (
+), e AS (
   SELECT *, replace(replace(replace(txt, '\', '\b'), '###', '\h'), '</turn>', '\t') AS esc,
-    replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS esc_role FROM d
+    replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS esc_role FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY turn, role, txt)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || txt || chr(10), '' ORDER BY turn NULLS FIRST, role, txt)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(txt) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN txt ELSE '' END, '' ORDER BY turn, role, txt)) AS loss_sha256,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN txt ELSE '' END, '' ORDER BY turn NULLS FIRST, role, txt)) AS loss_sha256,
   CAST(sum(length('### ' || esc_role || ': ' || esc || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """,

@@ -121,15 +121,31 @@ def test_events_fold_into_messages(spark):
         chat_format.format_conversations(spark.createDataFrame([(1, 0, "a", "odd", "user", "")], df.schema)).collect()
 
 
-def test_any_text_survives_the_template(spark):
+def test_messages_of_one_place(spark):
+    """Equal seqs, null seqs, no names and repeated rows: every row stays, ordered by role and text."""
+    schema = "conv_id long, seq long, msg_id string, kind string, role string, text string, extra int"
+    log = [(1, 3, None, None, "user", "x", 1), (1, 3, None, None, "user", "x", 2), (1, 3, None, None, "assistant", "y", 1), (1, None, None, None, None, None, 1), (None, 1, "m", "message", "user", "n", 1), (None, 1, "m", "message", "user", "n", 1)]
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(log, schema).repartition(3))).collect()}
+    assert got == {1: [("", ""), ("assistant", "y"), ("user", "x"), ("user", "x")], None: [("user", "n")]}
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_any_text_survives_the_template(spark, streamed):
     rng = random.Random(5)
     pieces = ["###", "#", "</turn>", "</turn", ">", "\\", "\\h", "\\t", "\\b", "\n", " ", ": ", "assistant", "é🙂", ""]
-    rows = [(c, t, rng.choice(["user", "assistant", "a: b", "### x", ""]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))) for c in range(120) for t in range(rng.randint(1, 5))]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for r in chat_format.read_back(chat_format.format_conversations(chat_format.as_events(df))).collect():
-        own = sorted(x[1:] for x in rows if x[0] == r["conv_id"])
-        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in own]
-        assert r["loss_text"] == "".join(x[2] for x in own if x[1] == "assistant")
+    rows = [(c, t, rng.choice(["user", "assistant", "a: b", "### x", ""]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))), "m") for c in range(120) for t in range(rng.randint(1, 5))]
+    rows += [(200, 0, role, text, "m") for role, text in (("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"))]  # one turn
+    rows += [(201, 0, "user", "same", "m")] * 3 + [(201, None, "user", "first", "m"), (201, 1, None, None, "m"), (None, 5, "assistant", "lost", "m")]
+    rows += [(202, 1, "assistant", "é### " * 200_000, "m"), (202, 0, "user", "", "m")]  # a megabyte
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, msg_id string").repartition(4)
+    seen = set()
+    for r in chat_format.read_back(chat_format.format_conversations(chat_format.as_events(df, streamed))).collect():
+        key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
+        own = sorted((x for x in rows if x[0] == r["conv_id"]), key=key)
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[2] or "", x[3] or "") for x in own]
+        assert r["loss_text"] == "".join(x[3] or "" for x in own if x[2] == "assistant")
+        seen.add(r["conv_id"])
+    assert seen == {x[0] for x in rows}
 
 
 # Language
