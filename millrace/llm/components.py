@@ -23,13 +23,14 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, spread_join, stored
+from millrace.llm.common import forget, map_batches, spread_join, stored
 
 #: Pivots of a list at most, by round; the last number is for all rounds after.
-PIVOTS = (1, 1, 4, 16, 64)
+PIVOTS = (1, 16, 64)
 #: Components are brought up to date when the links of the last rounds are at least one for so many open postings.
 WORTH = 100
 #: Columns of a set that stand in one row, about.
@@ -62,8 +63,48 @@ def column_blocks_of(columns: np.ndarray, n: int) -> Iterator[tuple[int, int, np
             yield blocks // 2, k % (blocks // 2), part
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``id, component``: for each id in ``edges(a, b)`` the smallest id that it reaches. Alternates large stars and small stars until nothing changes; each group is reduced to its minimum before it is shuffled."""
+#: So many links (16 bytes each) are joined up in one task; more, by stars in all tasks.
+LINKS_IN_ONE_TASK = 2_000_000
+
+
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of links and the smallest id that each reaches."""
+    ids, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = of[: len(a)], of[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        least = np.minimum(low[left], low[right])
+        new = low.copy()
+        np.minimum.at(new, low[left], least)
+        np.minimum.at(new, low[right], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            return ids, ids[low]
+        low = new
+
+
+def connected_components(edges: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK) -> DataFrame:
+    """``id, component``: for each id in the stored ``edges(a, b)`` the smallest id that it reaches.
+
+    Up to ``in_one_task`` edges are joined up by one task. Beyond it, large stars and small stars alternate until nothing
+    changes; each group is reduced to its minimum before it is shuffled.
+    """
+    if edges.count() > in_one_task:
+        return components_by_stars(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if links:
+            ids, low = joined_up(*[np.concatenate(x) for x in zip(*links, strict=True)])
+            for at in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (ids, low)], ["id", "component"])
+
+    return map_batches(edges.select("a", "b").where("a <> b").coalesce(1), run, "id long, component long")
+
+
+def components_by_stars(edges: DataFrame) -> DataFrame:
+    """The same, however many edges there are."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state, n = None, now.count()
     while True:
@@ -87,16 +128,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """The stored components ``labels(id, component)`` after new ``links(a, b)``: only the components that these join are looked at."""
     if labels is None:
-        return stored(connected_components(links))
+        return stored(connected_components(stored(links)))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     known = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_2"))
     heads = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_2", "a").alias("a"), F.coalesce("b_2", "b").alias("b"))
+    heads = stored(heads)
     moved = stored(connected_components(heads).select(F.col("id").alias("component"), F.col("component").alias("to")))
     sizes = known.groupBy("component").agg(F.count("*").alias("size"))
     table = stored(sizes.join(moved, "component", "left").select("component", F.coalesce("to", "component").alias("to"), "size"))
     out = stored(spread_join(known, table, ["component"]).select("id", F.col("to").alias("component")))
-    forget(moved, table)
+    forget(heads, moved, table)
     return out
 
 

@@ -127,8 +127,13 @@ def test_components_of_a_chain(spark):
     order = list(range(40))
     rng.shuffle(order)
     edges = list(zip(order, order[1:], strict=False)) + [(100, 101), (101, 101)]
-    got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100}
+    for limit in (1000, 10):  # in one task, and by stars
+        got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), limit).collect()}
+        assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    before = spark.createDataFrame([(i, 0) for i in (0, 3, 5)] + [(7, 7), (8, 7)], "id long, component long")
+    after = components.with_links(before, spark.createDataFrame([(8, 9), (5, 9), (20, 21)], "a long, b long"))
+    assert {r["id"]: r["component"] for r in after.collect()} == {**{i: 0 for i in (0, 3, 5, 7, 8, 9)}, 20: 20, 21: 20}
 
 
 @pytest.mark.parametrize("ids", ["own", "none"])
