@@ -31,8 +31,8 @@ from millrace.llm.common import map_batches
 
 #: Encoded pre-tokens of each of the two generations that a Python worker remembers, and pairs of neighbours.
 MEMO_LIMIT, NEIGHBOURS_LIMIT = 120_000, 500_000
-#: The same where encoding is all that a session does.
-MEMO_LIMIT_ALONE = 300_000
+#: The same where encoding is all that a session does; they are then kept from task to task.
+MEMO_LIMIT_ALONE = 500_000
 NEVER = 1 << 60
 _CODECS: dict[str, ByteBpe] = {}
 
@@ -43,6 +43,41 @@ def unicode_spaces(pattern: str) -> str:
     return inside.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
+class Memo(dict):
+    """Pre-tokens and their tokens in one form: as 32-bit numbers (bytes), or as decimal ids joined by commas (text).
+
+    Two generations: words that were used since the last time live on. A pre-token whose tokens
+    don't decode to its own bytes is noted in ``odd``, so the others' needn't be kept.
+    """
+
+    IDS, TEXT = "ids", "text"
+
+    def __init__(self, codec: ByteBpe, form: str):
+        super().__init__()
+        self.codec, self.form, self.limit = codec, form, MEMO_LIMIT
+        self.older: dict[str, bytes | str] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes | str:
+        found = self.older.get(word)
+        if found is None:
+            piece = word.encode("utf-8")
+            ids = self.codec.pieces(piece)
+            found = array("i", ids).tobytes() if self.form == self.IDS else ",".join([self.codec.text_of[i] for i in ids])
+            decoded = self.codec.decode(ids)
+            if decoded != piece:
+                self.odd[word] = decoded
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class ByteBpe:
     """Encoder and decoder for ranks in the .tiktoken format."""
 
@@ -55,9 +90,7 @@ class ByteBpe:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.split = regex.compile(unicode_spaces(pattern)).findall
-        self.memo_limit = MEMO_LIMIT
-        self.memo: dict[str, tuple[list[int], str, bytes]] = {}
-        self.older: dict[str, tuple[list[int], str, bytes]] = {}
+        self.memos = {form: Memo(self, form) for form in (Memo.IDS, Memo.TEXT)}
         self.neighbours: dict[int, bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.edges: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
@@ -146,24 +179,47 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         text = piece.decode("latin-1")
-        size, neighbours = self.size, self.neighbours
-        # Most often the greedy row of longest matches already is the encoding: then one pass over those is enough.
+        size, neighbours, may_follow, prefix_of, longest = self.size, self.neighbours, self.may_follow, self.prefix_of, self.trie.iter_long
         out: list[int] = []
-        last = None
-        for _, token in self.trie.iter_long(text):
-            if last is not None:
-                known = neighbours.get(last << 32 | token)
-                if not (self.may_follow(last, token) if known is None else known):
+        closed: set[int] = set()
+        at, last, n = 0, None, len(text)
+        while at < n:
+            # Longest matches one after the other, until one can't stand beside the one before it.
+            for end, token in longest(text, at):
+                if end + 1 - size[token] != at:
+                    return self.backtracked(text)
+                if last is not None:
+                    known = neighbours.get(last << 32 | token)
+                    if not (may_follow(last, token) if known is None else known):
+                        break
+                if end + 1 in closed:
                     break
-            out.append(token)
-            last = token
-        else:
-            if sum([size[x] for x in out]) == len(piece):
-                return out
-        return self.backtracked(text)
+                out.append(token)
+                last = token
+                at = end + 1
+            else:
+                return out if at == n else self.backtracked(text)
+            # Then a shorter one, or a step back; from there longest matches again.
+            candidate = prefix_of(token)
+            while True:
+                while candidate is not None:
+                    end = at + size[candidate]
+                    if end not in closed and (last is None or may_follow(last, candidate)):
+                        break
+                    candidate = prefix_of(candidate)
+                if candidate is not None:
+                    break
+                closed.add(at)
+                candidate = out.pop()
+                at -= size[candidate]
+                last = out[-1] if out else None
+                candidate = prefix_of(candidate)
+            out.append(candidate)
+            last, at = candidate, end
+        return out
 
     def backtracked(self, text: str) -> list[int]:
-        """The tokens of a pre-token by longest matches, stepping to shorter ones and back where neighbours don't agree."""
+        """The same from the longest matches at all places, found beforehand."""
         size, may_follow = self.size, self.may_follow
         n = len(text)
         longest: list = [None] * n
@@ -192,49 +248,46 @@ class ByteBpe:
 
     def forget(self) -> None:
         """Drop what was memoised: a kept worker's next task may be of another kind and need the room."""
-        self.memo.clear()
-        self.older.clear()
+        for memo in self.memos.values():
+            memo.forget()
         self.neighbours.clear()
         self.shorter.clear()
 
-    def look_up(self, word: str) -> tuple[list[int], str, bytes]:
-        """Of a pre-token: the ids, the ids joined by commas, and the bytes that the ids decode to."""
-        found = self.older.get(word)
-        if found is None:
-            ids = self.pieces(word.encode("utf-8"))
-            found = (ids, ",".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]))
-        if len(self.memo) >= self.memo_limit:  # words that were used since the last time live on
-            self.older, self.memo = self.memo, {}
-        self.memo[word] = found
-        return found
+    def packed(self, text: str) -> bytes:
+        """The token ids as 32-bit numbers."""
+        return b"".join(map(self.memos[Memo.IDS].__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.split(text):
-            out += (self.memo.get(word) or self.look_up(word))[0]
-        return out
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes."""
-        found = [self.memo.get(word) or self.look_up(word) for word in self.split(text)]
-        ids = ",".join([x[1] for x in found])
-        return ids.count(",") + bool(found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()
+        words = self.split(text)
+        memo = self.memos[Memo.TEXT]
+        ids = ",".join(map(memo.__getitem__, words))
+        if memo.odd:
+            decoded = b"".join([memo.odd.get(x) or x.encode("utf-8") for x in words])
+        else:
+            decoded = "".join(words).encode("utf-8")
+        return ids.count(",") + bool(words), hashlib.sha256(ids.encode("ascii")).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 @contextlib.contextmanager
-def codec(rank_file: bytes, pattern: str, memo_limit: int = MEMO_LIMIT) -> Iterator[ByteBpe]:
-    """One codec for each vocabulary and Python worker, lent to a task."""
+def codec(rank_file: bytes, pattern: str, memo_limit: int = MEMO_LIMIT, keep: bool = False) -> Iterator[ByteBpe]:
+    """One codec for each vocabulary and Python worker, lent to a task. What it memoised goes with the task unless the next one should ``keep`` it."""
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(rank_file, pattern)
-    _CODECS[key].memo_limit = memo_limit
+    for memo in _CODECS[key].memos.values():
+        memo.limit = memo_limit
     try:
         yield _CODECS[key]
     finally:
-        _CODECS[key].forget()
+        if not keep:
+            _CODECS[key].forget()
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -250,9 +303,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(sent.value, pattern) as bpe:
             for batch in batches:
-                rows = [array("i", bpe.encode(x or "")) for x in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x.tobytes() for x in rows]), np.int32)))], ["id", "ids"])
+                rows = [bpe.packed(x or "") for x in batch.column(1).to_pylist()]
+                ends = (np.cumsum([0, *map(len, rows)]) // 4).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["id", "ids"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -274,7 +327,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, memo_limit: int = M
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with codec(sent.value, pattern, memo_limit) as bpe:
+        with codec(sent.value, pattern, memo_limit, keep=True) as bpe:
             for batch in batches:
                 rows = [bpe.digest(x or "") for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
