@@ -1,23 +1,30 @@
 """Quality classification by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model is of order 4 over byte classes: bytes fold to 64 symbols (letters without case
-but for one symbol that capitals share, digits as one, marks, and classes of the bytes of
-other scripts), so an n-gram is a number below 2^24 and the model's size is bounded by the
-alphabet, not by the corpus. It is trained on all trusted texts: each task sums its
-n-grams, the sums are sharded by n-gram, and joins of the count tables of neighbouring
-orders, sharded by context, give discounts, back-off weights and probabilities.
+The model is of order ``ORDER`` over characters as they are (code points, case and all
+scripts; no folding, no hashing), so its tables grow with the text it is trained on. Each task sums
+the n-grams of its trusted texts; the sums are sharded by n-gram, and joins of the count
+tables of neighbouring orders give discounts, back-off weights and probabilities. No table of
+the model is ever in one place.
+
+Documents are scored by joins with these tables. They are taken in chunks of the files'
+rows; of a chunk, each different n-gram is asked for once. What all chunks ask for is looked
+up order by order, sharded by n-gram; the answers meet the chunk's documents, packed, and
+are summed for each document, as often as the n-gram occurs there.
 
 A document's perplexity is the exponential of the mean negative log probability of its
-symbols, over its whole text. A document is rejected when its perplexity lies above the
-``QUANTILE`` of the trusted documents of its language, times ``SLACK``, or below the
-``1 - QUANTILE`` one, divided by it: text that is far too predictable is repetition.
+characters, over its whole text. To be judged, ``SMOOTH`` characters of the language's mean are
+added, since short texts scatter. A document is rejected when that lies above the
+``QUANTILE`` of trusted documents of its language, times ``SLACK``, or below the
+``1 - QUANTILE`` one, divided by it: text that is far too predictable is repetition. One of
+``HELD_BACK`` trusted documents, by a hash of its id, sets these bounds and isn't trained on.
 
-Defined results: null texts and texts without symbols have no perplexity and are rejected;
+Defined results: null texts and texts without a visible character have no perplexity and are rejected;
 texts of any length are scored whole; languages without trusted texts, and null languages, use
-the quantiles of all trusted texts; with no trusted text at all only empty texts are
+the bounds of all trusted texts; with no trusted text at all only empty texts are
 rejected; rows with equal ids are each scored, and are trusted if any label of their id
 is; labels without an id say nothing; empty tables give an empty table. Only the named columns are read
-(``keep_good`` keeps all others as they are), so other columns can't clash.
+(``keep_good`` keeps all others as they are), so other columns can't clash (names that begin
+with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -26,73 +33,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from millrace.llm.common import map_batches, stored
+from millrace.llm.common import forget, map_batches, n_blocks, stored
+from millrace.llm.text_arrays import mixed
 
-ORDER, SYMBOLS, BITS = 4, 64, 6
-QUANTILE, SLACK = 0.95, 1.25
+ORDER = 5
+QUANTILE, SLACK, SMOOTH, HELD_BACK = 0.95, 1.1, 40, 4
 #: Trusted ids are sent to all tasks up to this many; beyond it documents and labels are shuffled by id.
 BROADCAST_IDS = 2_000_000
-#: Bytes whose n-grams are sorted at a time.
-BLOCK = 1 << 21
-EDGE = 63
-
-
-def symbol_table() -> np.ndarray:
-    """The symbol of each byte."""
-    out = np.full(256, 42, np.uint8)
-    out[32] = 0
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = 27
-    out[48:58] = 28
-    for symbol, marks in enumerate(("\n\r\t", ".", ",", "!?;:", "'\"`", "-_/", "()[]{}<>", "%", "$", "#", "&", "*", "@+=|~^\\"), 29):
-        out[[ord(c) for c in marks]] = symbol
-    out[128:192] = 43 + np.arange(64) % 16
-    out[192:224] = 60
-    out[195] = 59
-    out[224:240] = 61
-    out[240:256] = 62
-    return out
-
-
-_SYMBOL = symbol_table()
-
-
-def ngrams(text: bytes) -> np.ndarray:
-    """The number of each symbol's n-gram: itself and the three before it."""
-    x = np.concatenate([np.full(ORDER - 1, EDGE, np.uint8), _SYMBOL[np.frombuffer(text, np.uint8)]]).astype(np.int32)
-    return (x[:-3] << 18) | (x[1:-2] << 12) | (x[2:-1] << 6) | x[3:]
+#: Rows of a file that are one chunk, n-grams worked on at a time, and slots of the tables that find them again.
+CHUNK_ROWS, BLOCK, SLOTS = 8192, 1 << 20, 1 << 21
+#: Fixed value: the character that stands before a text's first (and for the null character).
+EDGE = "\x02"
+_WEIGHTS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+class Grams:
+    """The n-grams of many texts: every character with the ``ORDER - 1`` before it."""
+
+    def __init__(self, texts: list[str]):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pad = EDGE * (ORDER - 1)
+        self.codes = np.frombuffer(bytearray("".join([pad + x for x in texts]).encode("utf-32-le", "surrogatepass")), np.uint32)
+        self.codes[self.codes == 0] = ord(EDGE)
+        self.sizes = sizes
+        first = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
+        self.at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and hashes, so many at a time."""
+        for k in range(0, len(self.at), BLOCK):
+            at = self.at[k : k + BLOCK]
+            low, high = int(at[0]), int(at[-1]) + 1
+            sums = np.zeros(high - low, np.uint64)
+            for j in range(ORDER):
+                sums += self.codes[low + j : high + j].astype(np.uint64) * _WEIGHTS[j]
+            yield at, mixed(sums[at - low])
+
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The n-grams at these places."""
+        codes = np.ascontiguousarray(self.codes[at[:, None] + np.arange(ORDER)])
+        return pa.array(codes.view(f"<U{ORDER}").reshape(-1).tolist(), pa.string())
+
+
+def hashes_of(grams: list[str]) -> np.ndarray:
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).astype(np.uint64)
+    return mixed((codes * _WEIGHTS).sum(axis=1, dtype=np.uint64))
 
 
 def ngram_counts(texts: DataFrame) -> DataFrame:
-    """``g, c`` of all texts: summed in each task, then by shard."""
+    """``g, c`` of all ``texts(text)``: summed in each task, block by block, then by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, c = np.unique(np.concatenate(waiting), return_counts=True)
-            both, of = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            return both, np.bincount(of, np.concatenate([counts, c]).astype(np.float64), len(both)).astype(np.int64)
-
-        size = 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                waiting.append(ngrams(x or b""))
-                size += len(waiting[-1])
-                if size >= BLOCK:
-                    grams, counts = merged()
-                    waiting, size = [], 0
-        if waiting:
-            grams, counts = merged()
-        for at in range(0, len(grams), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + 100_000], pa.int32()), pa.array(counts[at : at + 100_000])], ["g", "c"])
+            grams = Grams([x or "" for x in batch.column(0).to_pylist()])
+            for at, h in grams.blocks():
+                _, first, times = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([grams.strings(at[first]), pa.array(times.astype(np.int64))], ["g", "c"])
 
-    return map_batches(texts, run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_batches(texts, run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -104,69 +107,172 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05 * k), k - 0.05) for k in (1, 2, 3))
 
 
-def estimate(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By order from 1: seen n-grams with probabilities ``g, p``; contexts with back-off weights ``ctx, gamma``.
+def context(gram: Column, order: int) -> Column:
+    return F.substring(gram, 1, order - 1)
 
-    Orders below the highest count how many different symbols come before an n-gram.
-    """
-    tables = [stored(counts)]
-    for order in range(ORDER - 1, 0, -1):
-        tables.insert(0, stored(tables[0].select((F.col("g") % (1 << (BITS * order))).alias("g")).groupBy("g").agg(F.count("*").alias("c"))))
-    seen: list[DataFrame] = []
-    weights: list[DataFrame] = []
-    for order, table in enumerate(tables, 1):
-        d1, d2, d3 = discounts(table)
-        rows = table.select("g", "c", F.shiftright("g", BITS).alias("ctx"), (F.col("g") % (1 << (BITS * (order - 1)))).alias("lower"))
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum(cut) / F.sum("c")).alias("gamma"))
-        joined = rows.join(contexts, "ctx")
-        below = joined.withColumn("q", F.lit(1.0 / SYMBOLS)) if order == 1 else joined.join(seen[-1].select(F.col("g").alias("lower"), F.col("p").alias("q")), "lower")
-        seen.append(stored(below.select("g", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))))
-        weights.append(stored(contexts.select("ctx", "gamma")))
-    return seen, weights
-
-
-def log_table(seen: list[DataFrame], weights: list[DataFrame]) -> np.ndarray:
-    """The natural log probability of every n-gram: 2^24 numbers, whatever the corpus."""
-    below = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-    for order, (grams, contexts) in enumerate(zip(seen, weights, strict=True), 1):
-        g, c = grams.toPandas(), contexts.toPandas()
-        gamma = np.ones(SYMBOLS ** (order - 1), np.float32)
-        gamma[c["ctx"].to_numpy()] = c["gamma"].to_numpy()
-        # Unseen: the context's back-off weight times the lower order; a context that is unseen itself passes the lower order on.
-        shorter = SYMBOLS ** max(0, order - 2)
-        below = (gamma.reshape(-1, shorter, 1) * below.reshape(1, shorter, SYMBOLS)).reshape(-1)
-        below[g["g"].to_numpy()] = g["p"].to_numpy()
-    return np.log(below).astype(np.float16)
 
+def lower(gram: Column, order: int) -> Column:
+    return F.substring(gram, 2, order - 1)
 
-def of_trusted(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of ``docs`` whose ids are in ``trusted(doc_id)``."""
-    return docs.join(F.broadcast(trusted) if trusted.count() <= broadcast_ids else trusted, "doc_id", "left_semi")
 
+class Model:
+    """By order from 1: the seen n-grams with probabilities ``seen(g, p)``, and contexts with back-off weights ``weights(ctx, gamma)``.
 
-def train(texts: DataFrame) -> np.ndarray:
-    """The log table of the texts of ``texts(text)``."""
-    return log_table(*estimate(ngram_counts(texts.select(F.col("text").cast("string").cast("binary").alias("text")))))
+    Orders below the highest count how many different characters come before an n-gram; the
+    lowest is interpolated with a uniform distribution over the characters seen and one more.
+    """
 
+    def __init__(self, texts: DataFrame):
+        tables = [stored(ngram_counts(texts))]
+        for order in range(ORDER - 1, 0, -1):
+            tables.insert(0, stored(tables[0].select(lower(F.col("g"), order + 1).alias("g")).groupBy("g").agg(F.count("*").alias("c"))))
+        self.uniform = 1.0 / (tables[0].count() + 1)
+        self.seen: list[DataFrame] = []
+        self.weights: list[DataFrame] = []
+        for order, table in enumerate(tables, 1):
+            d1, d2, d3 = discounts(table)
+            g = F.col("g")
+            rows = table.select("g", "c", context(g, order).alias("ctx"), lower(g, order).alias("lower"))
+            cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+            contexts = stored(rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum(cut) / F.sum("c")).alias("gamma")))
+            joined = rows.join(contexts, "ctx")
+            below = joined.withColumn("q", F.lit(self.uniform)) if order == 1 else joined.join(self.seen[-1].select(F.col("g").alias("lower"), F.col("p").alias("q")), "lower")
+            self.seen.append(stored(below.select("g", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))))
+            self.weights.append(contexts.select("ctx", "gamma"))
+        forget(*tables)
+
+    def log_probabilities(self, grams: DataFrame) -> DataFrame:
+        """``g, logp`` of the different ``grams(g)`` of the highest order, looked up from the lowest order upwards."""
+        asked = [stored(grams.select("g").distinct())]
+        for order in range(ORDER - 1, 0, -1):
+            asked.insert(0, stored(asked[0].select(lower(F.col("g"), order + 1).alias("g")).distinct()))
+        known: DataFrame | None = None
+        for order, table in enumerate(asked, 1):
+            g = F.col("g")
+            met = table.join(self.seen[order - 1], "g", "left").withColumn("ctx", context(g, order)).join(self.weights[order - 1], "ctx", "left")
+            # A context that is unseen itself passes the lower order on.
+            if known is None:
+                met = met.withColumn("q", F.lit(self.uniform))
+            else:
+                met = met.withColumn("lower", lower(g, order)).join(known.select(F.col("g").alias("lower"), F.col("p").alias("q")), "lower")
+            before, known = known, stored(met.select("g", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")))
+            forget(table, *([before] if before is not None else []))
+        return known.select("g", F.log("p").alias("logp"))
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__chunk``: file and range of rows, the same in every job, however that splits the files. What isn't read from files is stored first."""
+    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK_ROWS))
+    try:
+        return docs.withColumn("__chunk", place)
+    except AnalysisException:
+        return stored(docs).withColumn("__chunk", place)
+
+
+def asked_grams(docs: DataFrame) -> DataFrame:
+    """``chunk, g``: the different n-grams of each chunk (a few of them more than once)."""
 
-def perplexities(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``docs`` with ``perplexity``: null for a text without symbols."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, np.uint64)
+        for batch in batches:
+            grams = Grams([x or "" for x in batch.column(1).to_pylist()])
+            chunks = np.repeat(batch.column(0).to_numpy(), grams.sizes)
+            for k, (at, h) in enumerate(grams.blocks()):
+                chunk = chunks[k * BLOCK : k * BLOCK + len(at)]
+                key = mixed(h ^ chunk.view(np.uint64))
+                slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+                new = np.flatnonzero(table[slot] != key)
+                table[slot[new]] = key[new]
+                _, first = np.unique(key[new], return_index=True)
+                which = new[first]
+                if len(which):
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk[which]), grams.strings(at[which])], ["chunk", "g"])
+
+    return map_batches(docs.select("__chunk", F.col("text").cast("string").alias("text")), run, "chunk long, g string")
+
+
+class Answers:
+    """The log probabilities of one chunk's n-grams."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        h, logp = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
+        order = np.argsort(h, kind="stable")
+        self.h, self.logp = h[order], logp[order]
+        self.key, self.value = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.key[slot] = h
+        self.value[slot] = logp[np.arange(len(h))]
+        # Where two share a slot, key and value are of the same one.
+        last = np.zeros(SLOTS, np.int64)
+        last[slot] = np.arange(len(h))
+        self.key[slot], self.value[slot] = h[last[slot]], logp[last[slot]]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        out = self.value[slot]
+        other = np.flatnonzero(self.key[slot] != h)
+        if len(other):
+            at = np.minimum(np.searchsorted(self.h, h[other]), len(self.h) - 1)
+            if not len(self.h) or (self.h[at] != h[other]).any():
+                raise RuntimeError("a chunk's documents aren't those that were asked for")
+            out[other] = self.logp[at]
+        return out
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``__nll``, the sum of negative log probabilities (null for a text without a visible character), and ``__n``, the characters."""
+    placed = chunked(docs)
+    asked = stored(asked_grams(placed))
+    answers = asked.join(model.log_probabilities(asked), "g").select(F.col("chunk").alias("__chunk"), F.lit(0).alias("kind"), "g", "logp", F.lit(None).cast("binary").alias("packed"))
     names = docs.columns
     text = names.index("text")
-    schema = StructType([*docs.schema.fields, StructField("__perplexity", DoubleType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column(len(names)).to_numpy()
+            for chunk in np.unique(chunks).tolist():
+                own = batch.filter(pa.array(chunks == chunk)).select(names)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["__chunk", "kind", "g", "logp", "packed"])
+
+    rows = StructType([StructField("__chunk", LongType()), StructField("kind", IntegerType()), StructField("g", StringType()), StructField("logp", DoubleType()), StructField("packed", BinaryType())])
+    both = answers.unionByName(map_batches(placed.select(*names, "__chunk"), pack, rows))
+    both = both.repartition(n_blocks(docs), "__chunk").sortWithinPartitions("__chunk", "kind")
+    schema = StructType([*docs.schema.fields, StructField("__nll", DoubleType()), StructField("__n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sent.value
+        chunk, parts, known = None, [], None
         for batch in batches:
-            out = []
-            for x in batch.column(text).to_pylist():
-                raw = (x or "").encode("utf-8")
-                out.append(float(np.exp(-logs[ngrams(raw)].sum(dtype=np.float64) / len(raw))) if raw.strip() else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "__perplexity"])
+            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])))
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(chunks)).tolist(), strict=True):
+                if chunks[a] != chunk:
+                    chunk, parts, known = chunks[a], [], None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    parts.append((hashes_of(part.column(2).to_pylist()), part.column(3).to_numpy()))
+                    continue
+                known = known or Answers(parts)
+                parts = []
+                for packed in part.column(4).to_pylist():
+                    for own in pa.ipc.open_stream(packed):
+                        texts = [x or "" for x in own.column(text).to_pylist()]
+                        grams = Grams(texts)
+                        each = np.concatenate([np.zeros(0), *[known.of(h) for _, h in grams.blocks()]])
+                        sums = np.append(0.0, np.cumsum(each))
+                        ends = np.cumsum(grams.sizes)
+                        nll = sums[ends - grams.sizes] - sums[ends]
+                        nothing = np.array([not x.strip() for x in texts])
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nll, mask=nothing), pa.array(grams.sizes)], [*names, "__nll", "__n"])
+
+    return map_batches(both, run, schema)
 
-    return map_batches(docs, run, schema)
+
+def of_trusted(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ids are in ``trusted(doc_id)``."""
+    return docs.join(F.broadcast(trusted) if trusted.count() <= broadcast_ids else trusted, "doc_id", "left_semi")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -174,34 +280,46 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
-class Classifier:
-    """A trained model with the bounds of each language's perplexities."""
+def held_back(doc_id: Column) -> Column:
+    """Whether a trusted document sets the bounds instead of being trained on."""
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit("bounds")), F.lit(HELD_BACK)) == 0
+
+
+def language(lang: Column) -> Column:
+    return F.coalesce(lang.cast("string"), F.lit(""))
+
+
+def judge(found: DataFrame, trusted: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """``found``, the stored result of ``scored``, with ``__perplexity, __judged, __low, __high, __rejected``."""
+    known = of_trusted(found.select(F.col("doc_id").cast("long").alias("doc_id"), language(F.col("lang")).alias("__lang"), "__nll", "__n").where("__nll is not null"), trusted).where(held_back(F.col("doc_id")))
+    known = stored(known.select("__lang", "__nll", "__n"))
+    overall = known.agg((F.sum("__nll") / F.sum("__n")).alias("m")).first()["m"] or 0.0
+    means = stored(known.groupBy("__lang").agg((F.sum("__nll") / F.sum("__n")).alias("__mean")))  # a row for each language
+    smoothed = F.exp((F.col("__nll") + SMOOTH * F.coalesce("__mean", F.lit(overall))) / (F.col("__n") + SMOOTH))
+    ends = F.percentile_approx("__judged", [1 - quantile, quantile], 100_000).alias("q")
+    own = known.join(means, "__lang").withColumn("__judged", smoothed)
+    low, high = own.agg(ends).first()["q"] or [0.0, float("inf")]
+    bounds = stored(own.groupBy("__lang").agg(ends).join(means, "__lang").select("__lang", "__mean", (F.col("q")[0] / slack).alias("__low"), (F.col("q")[1] * slack).alias("__high")))
+    met = found.withColumn("__lang", language(F.col("lang"))).join(bounds, "__lang", "left").drop("__lang")
+    met = met.withColumns({"__judged": smoothed, "__perplexity": F.exp(F.col("__nll") / F.col("__n")), "__low": F.coalesce("__low", F.lit(low / slack)), "__high": F.coalesce("__high", F.lit(high * slack))})
+    out = (F.col("__judged") < F.col("__low")) | (F.col("__judged") > F.col("__high"))
+    return met.withColumn("__rejected", F.coalesce(out, F.lit(True)))
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-        own = of_trusted(rows, stored(trusted_ids(labels)))
-        self.table = train(own)
-        known = stored(perplexities(own.select("lang", "text"), self.table).select("lang", F.col("__perplexity").alias("p")).where("p is not null"))
-        ends = F.percentile_approx("p", [1 - quantile, quantile], 100_000)
-        overall = known.agg(ends.alias("q")).first()["q"] or [0.0, float("inf")]
-        self.bounds = stored(known.groupBy("lang").agg(ends.alias("q")).select(F.col("lang").alias("__lang"), (F.col("q")[0] / slack).alias("__low"), (F.col("q")[1] * slack).alias("__high")))
-        self.low, self.high = overall[0] / slack, overall[1] * slack
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``__perplexity, __low, __high, __rejected``. The bounds are a row for each language, a written table whose size the planner knows."""
-        scored = perplexities(docs, self.table)
-        met = scored.join(self.bounds, F.coalesce(scored["lang"].cast("string"), F.lit("")) == self.bounds["__lang"], "left").drop("__lang")
-        met = met.withColumn("__low", F.coalesce("__low", F.lit(float(self.low)))).withColumn("__high", F.coalesce("__high", F.lit(float(self.high))))
-        out = (F.col("__perplexity") < F.col("__low")) | (F.col("__perplexity") > F.col("__high"))
-        return met.withColumn("__rejected", F.coalesce(out, F.lit(True)))
+def train(docs: DataFrame, trusted: DataFrame) -> Model:
+    own = of_trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), trusted)
+    return Model(own.where(~held_back(F.col("doc_id"))).select("text"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """``doc_id, lang, perplexity, low, high, rejected`` of each row."""
-    scored = Classifier(docs, labels, quantile, slack).score(docs.select("doc_id", "text", "lang"))
-    return scored.select("doc_id", "lang", *[F.col(f"__{x}").alias(x) for x in ("perplexity", "low", "high", "rejected")])
+    """``doc_id, lang, perplexity, judged, low, high, rejected`` of each row; ``judged`` is the smoothed perplexity."""
+    trusted = stored(trusted_ids(labels))
+    found = stored(scored(docs, train(docs, trusted)).select("doc_id", "lang", "__nll", "__n"))
+    return judge(found, trusted, quantile, slack).select("doc_id", "lang", *[F.col(f"__{x}").alias(x) for x in ("perplexity", "judged", "low", "high", "rejected")])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns."""
-    return Classifier(docs, labels).score(docs).where("not __rejected").select(*docs.columns)
+    trusted = stored(trusted_ids(labels))
+    found = stored(scored(docs, train(docs, trusted)))
+    return judge(found, trusted, quantile, slack).where("not __rejected").select(*docs.columns)

@@ -176,15 +176,15 @@ def test_language_of_odd_texts(spark):
 
 
 def plain_model(texts):
-    """Interpolated modified Kneser-Ney over all four-grams of symbols, by dictionaries."""
+    """Interpolated modified Kneser-Ney over characters, by dictionaries: the probability of an n-gram."""
     from collections import Counter, defaultdict
 
     grams = Counter()
     for x in texts:
-        s = [quality.EDGE] * 3 + quality._SYMBOL[np.frombuffer(x.encode(), np.uint8)].tolist()
-        grams.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+        padded = quality.EDGE * (quality.ORDER - 1) + x
+        grams.update(padded[k : k + quality.ORDER] for k in range(len(x)))
     tables = [grams]
-    for _ in range(3):
+    for _ in range(quality.ORDER - 1):
         tables.insert(0, Counter(g[1:] for g in tables[0]))
 
     def cuts(t):
@@ -203,7 +203,7 @@ def plain_model(texts):
         contexts.append((d, own))
 
     def p(g):
-        low = p(g[1:]) if len(g) > 1 else 1 / quality.SYMBOLS
+        low = p(g[1:]) if len(g) > 1 else 1 / (len(tables[0]) + 1)
         d, own = contexts[len(g) - 1]
         if g[:-1] not in own:
             return low
@@ -211,37 +211,102 @@ def plain_model(texts):
         c = tables[len(g) - 1][g]
         return (max(c - d[min(c, 3) - 1], 0) if c else 0) / total + cut / total * low
 
-    return p
+    return p, sorted(tables[0])
 
 
 def test_model_equals_a_plain_one(spark):
     rng = random.Random(6)
-    texts = [sentence(rng, 40) for _ in range(30)] + ["Éa, 12!\n", "zz"]
-    table = quality.train(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3))
-    p = plain_model(texts)
-    for g in [*quality.ngrams(texts[0].encode())[:60], *quality.ngrams("qxj 9%é".encode()), 0, 12345]:
-        parts = tuple((int(g) >> shift) & 63 for shift in (18, 12, 6, 0))
-        assert abs(np.log(p(parts)) - float(table[g])) < 0.01
-    # Each context's probabilities sum to one.
-    sums = np.exp(table.astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.abs(sums - 1).max() < 0.01
-
-
-def test_quality_keeps_the_good(spark):
+    texts = [sentence(rng, 40) for _ in range(30)] + ["Éa, 12!\n", "zz", "日本語の文", "a\0b", ""]
+    model = quality.Model(spark.createDataFrame([(x,) for x in [*texts, None]], "text string").repartition(3))
+    p, letters = plain_model([x.replace("\0", quality.EDGE) for x in texts])
+    padded = quality.EDGE * 4 + texts[0]
+    asked = [padded[k : k + 5] for k in range(60)] + ["qxj 9", "日本語の文", "ran l", "~~~~~", "a" + quality.EDGE + "b c"]
+    whole = [asked[7][:4] + c for c in [*letters, "~"]]
+    got = {r["g"]: r["logp"] for r in model.log_probabilities(spark.createDataFrame([(x,) for x in asked + whole], "g string")).collect()}
+    for g in asked + whole:
+        assert abs(np.log(p(g)) - got[g]) < 1e-9
+    assert abs(sum(np.exp(got[g]) for g in whole) - 1) < 1e-9  # over a context's characters and an unseen one
+
+
+def plain_judgement(spark, docs, labels):
+    """doc_id -> (perplexity, rejected) by the definition."""
+    from pyspark.sql import functions as F
+
+    good = {i for i, q, _ in labels if i is not None and q == 1} - {i for i, _, t in labels if t == 1}
+    back = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in good], "doc_id long").where(quality.held_back(F.col("doc_id"))).collect()}
+    p, _ = plain_model([x or "" for i, x, *_ in docs if i in good - back])
+    memo = {}
+
+    def nll(x):
+        padded = quality.EDGE * 4 + x
+        out = 0.0
+        for k in range(len(x)):
+            g = padded[k : k + 5]
+            if g not in memo:
+                memo[g] = -np.log(p(g))
+            out += memo[g]
+        return out
+
+    sums = [(nll(x), len(x)) if x and x.strip() else None for _, x, *_ in docs]
+    known = [(lang or "", *s) for (i, _, lang, *_), s in zip(docs, sums, strict=True) if i in back and s]
+    mean = lambda rows: sum(n for _, n, _ in rows) / sum(m for *_, m in rows)
+    smooth = lambda s, m: np.exp((s[0] + quality.SMOOTH * m) / (s[1] + quality.SMOOTH))
+    means = {lang: mean([r for r in known if r[0] == lang]) for lang in {r[0] for r in known}}
+
+    def ends(values):
+        v = sorted(values)
+        at = lambda q: v[max(int(np.ceil(q * len(v))) - 1, 0)]
+        return at(1 - quality.QUANTILE) / quality.SLACK, at(quality.QUANTILE) * quality.SLACK
+
+    every = ends([smooth(r[1:], means[r[0]]) for r in known])
+    own = {lang: ends([smooth(r[1:], means[lang]) for r in known if r[0] == lang]) for lang in means}
+    out = {}
+    for (i, _, lang, *_), s in zip(docs, sums, strict=True):
+        low, high = own.get(lang or "", every)
+        out[i] = (np.exp(s[0] / s[1]), not low <= smooth(s, means.get(lang or "", mean(known))) <= high) if s else (None, True)
+    return out
+
+
+def test_quality_equals_the_definition(spark, tmp_path):
     rng = random.Random(8)
-    rows = [(k, sentence(rng, 60), ["aa", "bb", None][k % 3], k) for k in range(60)]
-    rows += [(100 + k, "".join(rng.choice("qxz%$#9") for _ in range(300)), "aa", 1) for k in range(5)]
-    rows += [(200, None, "aa", 1), (201, " \n", "aa", 1), (202, sentence(rng, 60), "zz", 1), (203, sentence(rng, 60), None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity int")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100, 0, 0), (None, 1, 0), (202, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
-    assert all(got[100 + k]["rejected"] for k in range(5)) and got[200]["rejected"] and got[201]["rejected"] and got[200]["perplexity"] is None
-    assert sum(got[k]["rejected"] for k in range(60)) <= 1 and not got[202]["rejected"] and not got[203]["rejected"]
-    kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == sum(not r["rejected"] for r in got.values())
+    rows = [(k, sentence(rng, rng.choice((3, 30, 60))), ["aa", "bb", None][k % 3], k) for k in range(120)]
+    rows += [(200 + k, "".join(rng.choice("qxz%$#9") for _ in range(300)), "aa", 1) for k in range(5)]
+    rows += [(300, None, "aa", 1), (301, " \n", "aa", 1), (302, sentence(rng, 60), "zz", 1), (303, sentence(rng, 60), None, 1), (304, "la " * 300, "aa", 1), (305, sentence(rng, 30_000), "bb", 1), (306, "", None, 1), (307, "日本" * 50, "bb", 1)]
+    labels = [(k, 1, 0) for k in range(120)] + [(200, 0, 0), (None, 1, 0), (302, 1, 1), (300, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity int").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_judgement(spark, rows, labels)
+    got = {r["doc_id"]: r for r in quality.judged(docs, marks).collect()}
+    assert set(got) == set(want)
+    for i, (perplexity, rejected) in want.items():
+        assert got[i]["rejected"] == rejected and (got[i]["perplexity"] is None if perplexity is None else abs(got[i]["perplexity"] / perplexity - 1) < 1e-9)
+    assert all(want[200 + k][1] for k in range(5)) and want[304][1] and sum(want[k][1] for k in range(120)) < 12
+    docs.write.parquet(str(tmp_path / "d"))  # from files, with their own numbering of rows
+    kept = quality.keep_good(spark.read.parquet(str(tmp_path / "d")), marks)
+    assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.collect()} == {i: x for i, x, *_ in rows if not want[i][1]}
+
+
+def test_quality_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "abc abc", "x"), (1, "abc abc", "x"), (None, "abc", None), (2, None, "x"), (3, " ", "y")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judged(docs.limit(0), labels).count() == 0
-    none = {r["doc_id"]: r["rejected"] for r in quality.judged(docs, labels.limit(0)).collect()}
-    assert {i for i, bad in none.items() if bad} == {200, 201}
+    for marks in (labels, labels.limit(0)):
+        got = sorted(str((r["doc_id"], r["rejected"], r["perplexity"] is None)) for r in quality.judged(docs, marks).collect())
+        assert len(got) == 5 and {x for x in got if "True, True" in x} == {"(2, True, True)", "(3, True, True)"}
+    assert {r["doc_id"] for r in quality.judged(docs, labels.limit(0)).where("not rejected").collect()} == {1, None}
+    assert quality.keep_good(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_quality_on_held_out_labels(spark):
+    """Of the held-back trusted documents most are kept, of those called bad most go (neither was trained on)."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    got = quality.judged(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).join(labels, "doc_id").withColumn("back", quality.held_back(F.col("doc_id"))).collect()
+    good = [r["rejected"] for r in got if r["q"] == 1 and not r["t"] and r["back"]]
+    bad = [r["rejected"] for r in got if r["q"] == 0 and not r["t"]]
+    assert sum(good) <= 0.07 * len(good) and sum(bad) >= 0.85 * len(bad)
 
 
 def test_ids_in_one_or_many_tasks(spark):
