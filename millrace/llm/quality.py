@@ -7,9 +7,10 @@ tables of neighbouring orders give discounts, back-off weights and probabilities
 the model is ever in one place.
 
 Documents are scored by joins with these tables. They are taken in chunks of the files'
-rows; of a chunk, each different n-gram is asked for once. What all chunks ask for is looked
-up order by order, sharded by n-gram; the answers meet the chunk's documents, packed, and
-are summed for each document, as often as the n-gram occurs there.
+rows; of a chunk, each different n-gram is asked for once, and the questions travel packed to
+the n-grams' shards. There what all chunks ask for is looked up once, order by order, by joins
+with the tables; the answers meet the chunk's documents and are summed for each document, as
+often as the n-gram occurs there.
 
 A document's perplexity is the exponential of the mean negative log probability of its
 characters, over its whole text. To be judged, ``SMOOTH`` characters of the language's mean are
@@ -46,7 +47,7 @@ QUANTILE, SLACK, SMOOTH, HELD_BACK = 0.95, 1.1, 40, 4
 #: Trusted ids are sent to all tasks up to this many; beyond it documents and labels are shuffled by id.
 BROADCAST_IDS = 2_000_000
 #: Rows of a file that are one chunk, n-grams worked on at a time, and slots of the tables that find them again.
-CHUNK_ROWS, BLOCK, SLOTS = 8192, 1 << 20, 1 << 21
+CHUNK_ROWS, BLOCK, SLOTS = 16384, 1 << 20, 1 << 21
 #: Fixed value: the character that stands before a text's first (and for the null character).
 EDGE = "\x02"
 _WEIGHTS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
@@ -80,8 +81,9 @@ class Grams:
         return pa.array(codes.view(f"<U{ORDER}").reshape(-1).tolist(), pa.string())
 
 
-def hashes_of(grams: list[str]) -> np.ndarray:
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).astype(np.uint64)
+def hashes_of(grams: str) -> np.ndarray:
+    """The hashes of n-grams end to end."""
+    codes = np.frombuffer(grams.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).astype(np.uint64)
     return mixed((codes * _WEIGHTS).sum(axis=1, dtype=np.uint64))
 
 
@@ -142,8 +144,8 @@ class Model:
         forget(*tables)
 
     def log_probabilities(self, grams: DataFrame) -> DataFrame:
-        """``g, logp`` of the different ``grams(g)`` of the highest order, looked up from the lowest order upwards."""
-        asked = [stored(grams.select("g").distinct())]
+        """``g, logp`` of the different ``grams(g)`` of the highest order, with their other columns, looked up from the lowest order upwards."""
+        asked, more = [grams], [c for c in grams.columns if c != "g"]
         for order in range(ORDER - 1, 0, -1):
             asked.insert(0, stored(asked[0].select(lower(F.col("g"), order + 1).alias("g")).distinct()))
         known: DataFrame | None = None
@@ -155,9 +157,9 @@ class Model:
                 met = met.withColumn("q", F.lit(self.uniform))
             else:
                 met = met.withColumn("lower", lower(g, order)).join(known.select(F.col("g").alias("lower"), F.col("p").alias("q")), "lower")
-            before, known = known, stored(met.select("g", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")))
-            forget(table, *([before] if before is not None else []))
-        return known.select("g", F.log("p").alias("logp"))
+            before, known = known, stored(met.select("g", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p"), *(more if order == ORDER else ())))
+            forget(*([table] if order < ORDER else []), *([before] if before is not None else []))
+        return known.select("g", F.log("p").alias("logp"), *more)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -169,11 +171,22 @@ def chunked(docs: DataFrame) -> DataFrame:
         return stored(docs).withColumn("__chunk", place)
 
 
-def asked_grams(docs: DataFrame) -> DataFrame:
-    """``chunk, g``: the different n-grams of each chunk (a few of them more than once)."""
+def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
+    """``shard, chunk, grams``: the different n-grams of each chunk, end to end, once from each task that reads of it."""
+
+    def packed(chunk: np.ndarray, h: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        shard = (h % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((shard, chunk))
+        chunk, shard = chunk[order], shard[order]
+        text = np.ascontiguousarray(codes[order]).tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (shard[1:] != shard[:-1])))
+        grams = [text[a * ORDER : b * ORDER] for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(chunk)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array(chunk[cuts]), pa.array(grams, pa.string())], ["shard", "chunk", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, np.uint64)
+        table, known = np.zeros(SLOTS, np.uint64), np.zeros(0, np.uint64)
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             grams = Grams([x or "" for x in batch.column(1).to_pylist()])
             chunks = np.repeat(batch.column(0).to_numpy(), grams.sizes)
@@ -183,47 +196,105 @@ def asked_grams(docs: DataFrame) -> DataFrame:
                 slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
                 new = np.flatnonzero(table[slot] != key)
                 table[slot[new]] = key[new]
-                _, first = np.unique(key[new], return_index=True)
-                which = new[first]
-                if len(which):
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk[which]), grams.strings(at[which])], ["chunk", "g"])
+                keys, first = np.unique(key[new], return_index=True)
+                fresh = ~np.isin(keys, known, assume_unique=True)  # some only lost their slot to another
+                known = np.union1d(known, keys[fresh])
+                which = new[first[fresh]]
+                waiting.append((chunk[which], h[which], grams.codes[at[which][:, None] + np.arange(ORDER)]))
+                size += len(which)
+                if size >= BLOCK:
+                    yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, size = [], 0
+        if size:
+            yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+
+    return map_batches(docs.select("__chunk", F.col("text").cast("string").alias("text")), run, "shard int, chunk long, grams string")
+
+
+def different_grams(asked: DataFrame, shards: int) -> DataFrame:
+    """``shard, g``: what all chunks ask for, each n-gram once."""
 
-    return map_batches(docs.select("__chunk", F.col("text").cast("string").alias("text")), run, "chunk long, g string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            grams = batch.column(1).to_pylist()
+            text = "".join(grams)
+            h, first = np.unique(hashes_of(text), return_index=True)
+            fresh = ~np.isin(h, known, assume_unique=True)
+            known = np.union1d(known, h[fresh])
+            at = first[fresh]
+            of = np.repeat(shard, [len(x) // ORDER for x in grams])[at]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array([text[k * ORDER : (k + 1) * ORDER] for k in at.tolist()], pa.string())], ["shard", "g"])
+
+    return map_batches(asked.select("shard", "grams").repartition(shards, "shard"), run, "shard int, g string")
 
 
 class Answers:
-    """The log probabilities of one chunk's n-grams."""
+    """Log probabilities by hash."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
         h, logp = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0))
         order = np.argsort(h, kind="stable")
         self.h, self.logp = h[order], logp[order]
-        self.key, self.value = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        self.key[slot] = h
-        self.value[slot] = logp[np.arange(len(h))]
-        # Where two share a slot, key and value are of the same one.
-        last = np.zeros(SLOTS, np.int64)
-        last[slot] = np.arange(len(h))
-        self.key[slot], self.value[slot] = h[last[slot]], logp[last[slot]]
+        # Most are found at once in a table; those that lost their slot to another, by a search.
+        self.mask = np.uint64(min(SLOTS, 1 << (4 * len(h)).bit_length()) - 1)
+        slot = (self.h & self.mask).astype(np.int64)
+        self.at = np.zeros(int(self.mask) + 1, np.int64)
+        self.at[slot] = np.arange(len(h))
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-        out = self.value[slot]
-        other = np.flatnonzero(self.key[slot] != h)
+        if not len(h):
+            return np.zeros(0)
+        if not len(self.h):
+            raise RuntimeError("a chunk's n-grams have no answers")
+        at = self.at[(h & self.mask).astype(np.int64)]
+        other = np.flatnonzero(self.h[at] != h)
         if len(other):
-            at = np.minimum(np.searchsorted(self.h, h[other]), len(self.h) - 1)
-            if not len(self.h) or (self.h[at] != h[other]).any():
-                raise RuntimeError("a chunk's documents aren't those that were asked for")
-            out[other] = self.logp[at]
-        return out
+            at[other] = np.minimum(np.searchsorted(self.h, h[other]), len(self.h) - 1)
+            if (self.h[at[other]] != h[other]).any():
+                raise RuntimeError("a chunk's n-grams aren't those that were asked for")
+        return self.logp[at]
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """Group, kind and rows, of batches whose first two columns are these."""
+    for batch in batches:
+        group, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]))[: len(group)])
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(group)).tolist(), strict=True):
+            yield group[a], kind[a], batch.slice(a, b - a)
+
+
+def answered(asked: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """``chunk, grams, logps`` (32-bit floats) for ``asked(shard, chunk, grams)``, from ``known(shard, g, logp)``."""
+    none = F.lit(None)
+    both = known.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("chunk"), F.col("g").alias("grams"), "logp")
+    both = both.unionByName(asked.select("shard", F.lit(1).alias("kind"), "chunk", "grams", none.cast("double").alias("logp")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, table = None, [], None
+        for group, kind, rows in by_group(batches):
+            if group != shard:
+                shard, parts, table = group, [], None
+            grams = rows.column(3).to_pylist()
+            if kind == 0:
+                parts.append((hashes_of("".join(grams)), rows.column(4).to_numpy()))
+                continue
+            table = table or Answers(parts)
+            logps = [table.of(hashes_of(x)).astype(np.float32).tobytes() for x in grams]
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), pa.array(logps, pa.binary())], ["chunk", "grams", "logps"])
+
+    return map_batches(both.repartition(shards, "shard").sortWithinPartitions("shard", "kind"), run, "chunk long, grams string, logps binary")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``__nll``, the sum of negative log probabilities (null for a text without a visible character), and ``__n``, the characters."""
-    placed = chunked(docs)
-    asked = stored(asked_grams(placed))
-    answers = asked.join(model.log_probabilities(asked), "g").select(F.col("chunk").alias("__chunk"), F.lit(0).alias("kind"), "g", "logp", F.lit(None).cast("binary").alias("packed"))
+    placed, shards = chunked(docs), n_blocks(docs)
+    asked = stored(asked_grams(placed, shards))
+    known = model.log_probabilities(stored(different_grams(asked, shards)))
+    answers = answered(asked, known, shards).select(F.col("chunk").alias("__chunk"), F.lit(0).alias("kind"), "grams", "logps", F.lit(None).cast("binary").alias("packed"))
     names = docs.columns
     text = names.index("text")
 
@@ -235,37 +306,33 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(own)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["__chunk", "kind", "g", "logp", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["__chunk", "kind", "grams", "logps", "packed"])
 
-    rows = StructType([StructField("__chunk", LongType()), StructField("kind", IntegerType()), StructField("g", StringType()), StructField("logp", DoubleType()), StructField("packed", BinaryType())])
+    rows = StructType([StructField("__chunk", LongType()), StructField("kind", IntegerType()), StructField("grams", StringType()), StructField("logps", BinaryType()), StructField("packed", BinaryType())])
     both = answers.unionByName(map_batches(placed.select(*names, "__chunk"), pack, rows))
     both = both.repartition(n_blocks(docs), "__chunk").sortWithinPartitions("__chunk", "kind")
     schema = StructType([*docs.schema.fields, StructField("__nll", DoubleType()), StructField("__n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts, known = None, [], None
-        for batch in batches:
-            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.append(True, (chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(chunks)).tolist(), strict=True):
-                if chunks[a] != chunk:
-                    chunk, parts, known = chunks[a], [], None
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    parts.append((hashes_of(part.column(2).to_pylist()), part.column(3).to_numpy()))
-                    continue
-                known = known or Answers(parts)
-                parts = []
-                for packed in part.column(4).to_pylist():
-                    for own in pa.ipc.open_stream(packed):
-                        texts = [x or "" for x in own.column(text).to_pylist()]
-                        grams = Grams(texts)
-                        each = np.concatenate([np.zeros(0), *[known.of(h) for _, h in grams.blocks()]])
-                        sums = np.append(0.0, np.cumsum(each))
-                        ends = np.cumsum(grams.sizes)
-                        nll = sums[ends - grams.sizes] - sums[ends]
-                        nothing = np.array([not x.strip() for x in texts])
-                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nll, mask=nothing), pa.array(grams.sizes)], [*names, "__nll", "__n"])
+        for group, kind, rows in by_group(batches):
+            if group != chunk:
+                chunk, parts, known = group, [], None
+            if kind == 0:
+                parts += [(hashes_of(g), np.frombuffer(p, np.float32).astype(np.float64)) for g, p in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+                continue
+            known = known or Answers(parts)
+            parts = []
+            for packed in rows.column(4).to_pylist():
+                for own in pa.ipc.open_stream(packed):
+                    texts = [x or "" for x in own.column(text).to_pylist()]
+                    grams = Grams(texts)
+                    each = np.concatenate([np.zeros(0), *[known.of(h) for _, h in grams.blocks()]])
+                    sums = np.append(0.0, np.cumsum(each))
+                    ends = np.cumsum(grams.sizes)
+                    nll = sums[ends - grams.sizes] - sums[ends]
+                    nothing = np.array([not x.strip() for x in texts])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nll, mask=nothing), pa.array(grams.sizes)], [*names, "__nll", "__n"])
 
     return map_batches(both, run, schema)
 
