@@ -89,7 +89,7 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT doc_id, ws[i] AS w, i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower("text"), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i)
 ), b AS (
-  SELECT item_id, len(ws) AS n, ws[i] AS w, i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower("text"), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark), unnest(range(1, len(ws) + 1)) AS u(i)
+  SELECT item_id, len(ws) AS n, ws[i] AS w, i FROM (SELECT item_id, list_filter(regexp_split_to_array(lower("text"), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark), unnest(range(1, len(ws) + 1)) AS u(i) WHERE len(ws) >= 4
 ), m AS (
   SELECT doc_id, item_id, any_value(n) AS n, d.i - b.i AS shift, count(*) AS matched, list(b.i) AS places FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item_id, d.i - b.i
   HAVING count(*) >= ceil(least(any_value(n), 20) * 80 / 100)
