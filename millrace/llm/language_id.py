@@ -5,9 +5,10 @@ lower-cased and stripped to its letters, is compressed with each; the language w
 the score is how much fewer they are than the runner-up's (0 to 1). ``rejected`` marks
 texts whose margin is too narrow to act upon.
 
-The dictionaries come from a bounded sample: of every language the ``SAMPLE_DOCS``
-training rows (about; by a hash of their ids) fill ``DICT_BYTES``. Ids choose rows for the
-sample only and are no input of a prediction.
+The dictionaries come from a bounded sample: of every language about ``SAMPLE_DOCS``
+training rows, chosen by a hash of their ids among the rows of at most ``ROW_BYTES``, are
+taken whole, in the hash's order, as long as they fit into ``DICT_BYTES``. A language without such rows
+has its shortest one. Ids choose rows for the sample only and are no input of a prediction.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter; ties
 go to the alphabetically first language; rows without text or language teach nothing;
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches
 
-#: Bytes of each dictionary, rows sampled for it, zstandard's level and the margin below which a result is rejected.
+#: Bytes of each dictionary, rows sampled for it, bytes of a row that may be sampled, zstandard's level and the margin below which a result is rejected.
 DICT_BYTES = 98_304
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, ROW_BYTES = 400, 16_384
 LEVEL = 6
 MIN_MARGIN = 0.01
 LETTER = regex.compile(r"\p{L}")
@@ -54,19 +55,24 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT
     the driver whose hash falls below a threshold that about ``sample_docs`` rows pass.
     """
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    place, size = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)), F.octet_length("text")
+    counted = rows.groupBy("lang").agg(F.count_if(size <= ROW_BYTES).alias("n"), F.min_by(F.when(size > ROW_BYTES, F.col("text")), size).alias("shortest")).collect()
+    if not counted:
         return {}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    below = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1 << 40, (sample_docs << 40) // n + 1)))])
-    # Enough of a very long row is its first dictionary's worth; the sample is bounded in bytes as well as in rows.
-    picked = rows.where(place < below[F.col("lang")]).select("lang", place.alias("place"), F.substring("text", 1, dict_bytes // 8).alias("text")).collect()
+    below = F.create_map(*[x for r in counted for x in (F.lit(r["lang"]), F.lit(min(1 << 40, (sample_docs << 40) // max(1, r["n"]) + 1)))])
+    picked = rows.where((size <= ROW_BYTES) & (place < below[F.col("lang")])).select("lang", place.alias("place"), "text").collect()
     out = {}
-    for lang in sorted(counts):
-        own = sorted((r["place"], r["text"]) for r in picked if r["lang"] == lang)
-        content = "".join(letters_only(x) for _, x in own).encode("utf-8")[:dict_bytes]
-        if content:
-            out[lang] = content
+    for r in sorted(counted):
+        own = sorted((x["place"], x["text"]) for x in picked if x["lang"] == r["lang"])
+        content, room = [], dict_bytes
+        for _, text in own:
+            data = letters_only(text).encode("utf-8")
+            if len(data) <= room:
+                content.append(data)
+                room -= len(data)
+        found = b"".join(content) or letters_only(r["shortest"] or "").encode("utf-8")
+        if found.strip():
+            out[r["lang"]] = found
     return out
 
 
