@@ -2,7 +2,9 @@
 
 Each stage takes what the stage before it kept, written as Parquet and read again, and
 returns it with its own decisions carried out. All but the last return the columns of
-``documents``. Nulls, empty tables and repeated rows are treated as each operator says.
+``documents``. Null and empty texts go in the first stage; rows without an id, repeated rows and rows of
+equal ids are told apart by their number, and each is judged by itself; extra columns stay up to
+the last stage; an empty table stays one.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, directly or over others, the one of the smallest id stays."""
+    """Of rows that are linked, directly or over others, the one of the smallest id stays."""
     return ngram_join.one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a benchmark item is copied in go."""
+    """Rows that a benchmark item is copied in go."""
     return decontamination.without_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
@@ -50,7 +52,7 @@ STAGES = [
     ("byte-level BPE", bpe_stage),
 ]
 
-#: The first stage's model can't be put in SQL: tests/llm hold the pipeline against a brute-force version.
+#: The first stage's model can't be put in SQL: tests/llm/test_pipeline.py holds run()'s rows, ids and token ids, against a brute-force version.
 ORACLE_SQL = None
 
 
