@@ -20,6 +20,8 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = "4m"
 #: Bytes of input for each block or bucket that an operator cuts its work into.
 BLOCK_INPUT = 8 << 20
+#: Keys that ``spread_join`` treats apart, at most.
+HEAVY_KEYS = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,18 +105,19 @@ def with_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str = "size", total: int | None = None) -> DataFrame:
     """``rows.join(table, keys)`` for a stored ``table`` of one row a key that says how many ``rows`` have it.
 
-    Keys with more than a quarter of a partition's fair share, of which there are fewer than
-    four for each partition, meet their rows on the map side; only the others are shuffled.
-    ``total`` is the sum of the sizes, where it is known.
+    Keys with more than a quarter of a partition's fair share (and more than one in
+    ``HEAVY_KEYS`` of all rows, so that there are fewer of them than that) meet their rows on the map side, told by
+    a hash of theirs; only the others are shuffled. ``total`` is the sum of the sizes, where it is known.
     """
     if total is None:
         total = table.agg(F.sum(size)).first()[0] or 0
-    share = total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    heavy = F.broadcast(table.where(F.col(size) > share).drop(size)) if share else None
-    light = table.where(F.col(size) <= share).drop(size) if share else table.drop(size)
-    if heavy is None:
-        return rows.join(light, keys)
-    return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(light, keys))
+    share = max(total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), total // HEAVY_KEYS)
+    place = F.xxhash64(*keys)
+    heavy = [r["h"] for r in table.where(F.col(size) > share).select(place.alias("h")).collect()] if share else []
+    if not heavy:
+        return rows.join(table.drop(size), keys)
+    few = F.broadcast(table.where(place.isin(heavy)).drop(size))
+    return rows.where(place.isin(heavy)).join(few, keys).unionByName(rows.where(~place.isin(heavy)).join(table.where(~place.isin(heavy)).drop(size), keys))
 
 
 def n_blocks(docs: DataFrame) -> int:
