@@ -269,10 +269,12 @@ def joined_components(docs: DataFrame, percent: int, n: int, text_col: str) -> D
     filled = prints.where("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
     classes = stored(filled.groupBy("n", "p1", "p2").agg(F.min("row").alias("rep"), first.alias("first"), F.count("*").alias("size")))
-    sparse = sparse_matrix(docs.select(F.col("__row").alias("row"), text), n, percent, n_blocks(docs))
-    # What several tasks sent of one class has equal parts: one of each is enough, under the name of the class.
-    named = sparse.join(filled.select(F.col("row").alias("id"), "p1", "p2"), "id").join(classes.select("n", "p1", "p2", "rep"), ["n", "p1", "p2"])
-    sets = stored(named.drop("id", "p1", "p2").withColumnRenamed("rep", "id").dropDuplicates(["id", "part"]))
+    sparse = stored(sparse_matrix(docs.select(F.col("__row").alias("row"), text), n, percent, n_blocks(docs)))
+    # Several tasks may have sent a row of one class: the first stands for it, under the name of the class.
+    sent = sparse.where("part = 0").select("id").join(filled.select(F.col("row").alias("id"), "n", "p1", "p2"), "id")
+    named = stored(sent.join(classes.select("n", "p1", "p2", "rep"), ["n", "p1", "p2"]).groupBy("rep").agg(F.min("id").alias("id")))
+    sets = stored(sparse.join(named, "id").drop("id").withColumnRenamed("rep", "id"))
+    forget(sparse, named)
     found = linked_components(first_columns(sets), sets.where("h is not null"), percent)
     forget(sets)
     joined = stored(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
