@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import forget, map_batches, spread_join, stored
 
 #: Pivots of a list at most, by round; the last number is for all rounds after.
-PIVOTS = (1, 16, 64)
+PIVOTS = (1, 4, 16, 64)
 #: Components are brought up to date when the links of the last rounds are at least one for so many open postings.
 WORTH = 100
 #: Columns of a set that stand in one row, about.
@@ -146,9 +146,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b, na, nb)``, na and nb the sizes, those whose sets are linked: 100 * intersection >= percent * union, above 50 per cent.
 
     ``sets(id, n, blocks, block, h)`` has a row for each of ``column_blocks_of``; h may leave out members that no other set has.
+    With ``bits, shared`` (see ``ngram_join.SPARSE``) pairs whose bits differ too much are dropped before their rows meet.
     """
     if percent <= 50:
         raise ValueError("sets that differ by more than half in size aren't cut alike")
+    if "bits" in sets.columns:
+        narrow = sets.where("bits is not null").select("id", "bits", "shared")
+        for c in ("a", "b"):
+            pairs = pairs.join(narrow.withColumnsRenamed({"id": c, "bits": f"bits_{c}", "shared": f"shared_{c}"}), c)
+        odd = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        # What sets of these sizes may differ in, if they are linked; members that are left out differ in any case.
+        differ = odd + F.col("na") - F.col("shared_a") + F.col("nb") - F.col("shared_b")
+        pairs = pairs.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     asked = pairs.withColumn("blocks", _blocks_of(F.least("na", "nb")))
     left = sets.select(F.col("id").alias("a"), "blocks", "block", F.col("h").alias("ha"))
     right = sets.select(F.col("id").alias("b"), "blocks", "block", F.col("h").alias("hb"))

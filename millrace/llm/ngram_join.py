@@ -11,7 +11,10 @@ discard rows and pairs:
   would come first), so that lines which very many documents share propose no pairs;
 * sizes must be within 75 % of each other;
 * where the first shared n-gram stands at place p of a document's ``shared``, no more than
-  ``shared - p`` can be common, which must suffice for both.
+  ``shared - p`` can be common, which must suffice for both;
+* bits that say whether an odd number of a document's n-grams fall on them differ between
+  two documents in no more places than the n-grams do; where they differ in too many, the
+  pair's rows needn't meet.
 
 Of the product of the matrix with its transpose, the entries that are left are computed
 block by block: each pair's counts of common columns are accumulated over blocks of columns
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import forget, map_batches, n_blocks, spread_join, stored, with_rows
 from millrace.llm.components import BLOCK_COLUMNS, column_blocks_of, linked_components
-from millrace.llm.text_arrays import frequent, set_print, shingle_sets
+from millrace.llm.text_arrays import frequent, mixed, set_print, shingle_sets
 
 #: Entries that a task gathers before it sends blocks, and sorts at a time; classes it remembers.
 FLUSH_ENTRIES, SORT_ENTRIES = 1_000_000, 500_000
@@ -197,20 +200,22 @@ def shared_entries(columns: DataFrame, blocks: int) -> DataFrame:
     return map_batches(columns, run, "block int, payload binary")
 
 
-#: A row of the matrix, in parts: ``at`` and ``first`` hold the columns, ordered from rare to frequent, that linked rows must meet in; ``blocks, block, h`` all columns (see ``components``).
-SPARSE = "id long, part long, n long, shared long, at long, first array<long>, blocks long, block long, h array<long>"
+#: A row of the matrix, in parts: ``at`` and ``first`` hold the columns, ordered from rare to frequent, that linked rows must meet in; ``blocks, block, h`` all columns (see ``components``), and in part 0 ``bits``: of each bit whether an odd number of columns fall on it.
+SPARSE = "id long, part long, n long, shared long, at long, first array<long>, blocks long, block long, h array<long>, bits array<long>"
+#: 64-bit words of ``bits``.
+WORDS = 8
 
 
 def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
     """The rows, as ``SPARSE``, of the documents that enough shared columns are left of."""
     names = [x.split(" ")[0] for x in SPARSE.split(", ")]
-    kinds = [pa.list_(pa.int64()) if x in ("first", "h") else pa.int64() for x in names]
+    kinds = [pa.list_(pa.int64()) if x in ("first", "h", "bits") else pa.int64() for x in names]
 
-    def parts_of(i: int, n: int, h: np.ndarray) -> Iterator[tuple]:
+    def parts_of(i: int, n: int, h: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
         must = h[: len(h) - -(-percent * n // 100) + 1]
         firsts = [(at, must[at : at + BLOCK_COLUMNS]) for at in range(0, len(must), BLOCK_COLUMNS)]
         for part, (first, block) in enumerate(itertools.zip_longest(firsts, column_blocks_of(h, n), fillvalue=(None, None))):
-            yield (i, part, n, len(h), *first, *(block if block[0] is not None else (None, None, None)))
+            yield (i, part, n, len(h), *first, *(block if block[0] is not None else (None, None, None)), None if part else bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, counts, keys, often = [], [], [], [], []
@@ -233,12 +238,15 @@ def sparse_rows(shared: DataFrame, percent: int) -> DataFrame:
         owner, h, df = owner[keep], np.concatenate(keys)[keep], np.concatenate(often)[keep]
         order = np.lexsort((h, df, owner))
         owner, h = owner[order], h[order]
+        bits = np.zeros((len(docs), WORDS), np.uint64)
+        spread = mixed(h.astype(np.uint64))
+        np.bitwise_xor.at(bits, (owner, (spread >> np.uint64(6)) % np.uint64(WORDS)), np.uint64(1) << (spread & np.uint64(63)))
         which = np.flatnonzero(dense)
         starts, ends = np.searchsorted(owner, which), np.searchsorted(owner, which, "right")
         found: list[tuple] = []
         size = 0
         for w, a, b in zip(which.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            for x in parts_of(int(docs[w]), int(n[w]), h[a:b]):
+            for x in parts_of(int(docs[w]), int(n[w]), h[a:b], bits[w].view(np.int64)):
                 found.append(x)
                 size += len(names) + sum(len(y) for y in (x[5], x[8]) if y is not None)
                 if size >= SORT_ENTRIES:
