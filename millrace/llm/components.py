@@ -63,6 +63,8 @@ def column_blocks_of(columns: np.ndarray, n: int) -> Iterator[tuple[int, int, np
             yield blocks // 2, k % (blocks // 2), part
 
 
+#: The ids of so many pairs (8 bytes each) are sent to all tasks, to pick the sets that they ask for.
+BROADCAST_PAIRS = 200_000
 #: So many links (16 bytes each) are joined up in one task; more, by stars in all tasks.
 LINKS_IN_ONE_TASK = 2_000_000
 
@@ -158,9 +160,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # What sets of these sizes may differ in, if they are linked; members that are left out differ in any case.
         differ = odd + F.col("na") - F.col("shared_a") + F.col("nb") - F.col("shared_b")
         pairs = pairs.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    pairs = stored(pairs)
+    if pairs.count() <= BROADCAST_PAIRS:  # counted: then only the rows that are asked for are moved
+        left_ids, right_ids = (F.broadcast(pairs.select(F.col(c).alias("id")).distinct()) for c in ("a", "b"))
+        lefts, rights = sets.join(left_ids, "id", "left_semi"), sets.join(right_ids, "id", "left_semi")
+    else:
+        lefts = rights = sets
     asked = pairs.withColumn("blocks", _blocks_of(F.least("na", "nb")))
-    left = sets.select(F.col("id").alias("a"), "blocks", "block", F.col("h").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), "blocks", "block", F.col("h").alias("hb"))
+    left = lefts.select(F.col("id").alias("a"), "blocks", "block", F.col("h").alias("ha"))
+    right = rights.select(F.col("id").alias("b"), "blocks", "block", F.col("h").alias("hb"))
     met = asked.join(left, ["a", "blocks"]).join(right, ["b", "blocks", "block"])
     shared = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
     total = shared.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
