@@ -69,13 +69,18 @@ def with_product_keys(versions: DataFrame, key: str = KEY, surrogate: str = "pro
 
 
 def merge_type2(dim: DataFrame, snapshot: DataFrame, load_date: str, key: str = KEY, name: str = NAME, tracked: tuple[str, ...] = TRACKED, surrogate: str = "product_key", expire_missing: bool = False) -> DataFrame:
-    """One load into the versions that are there. The load must be later than every version's start and have each key once."""
+    """One load into the versions that are there. The load must be later than every version's start and have each key once.
+
+    The plan reads ``dim`` several times, so a caller that merges load after load stores it
+    in between. Both sides of the joins grow, and files compress too well for the planner to
+    tell: none of them is sent through the driver.
+    """
     day = F.lit(load_date).cast("date")
     newest = dim.agg(F.max("effective_start_date")).first()[0]
     check({f"load {load_date} isn't later than {newest}": newest is None or str(newest) < load_date})
     unique_key(snapshot, [key], "snapshot")
     s = snapshot.select(F.col(key).alias("__k"), F.col(name).alias("__n"), F.struct(*tracked).alias("__s"))
-    met = dim.join(s, F.col(key) == F.col("__k"), "left")
+    met = dim.join(s.hint("merge"), F.col(key) == F.col("__k"), "left")
     present = F.col("__k").isNotNull()
     changed = F.col("is_current") & present & ~F.struct(*tracked).eqNullSafe(F.col("__s"))
     closed = changed | (F.col("is_current") & ~present) if expire_missing else changed
@@ -90,7 +95,7 @@ def merge_type2(dim: DataFrame, snapshot: DataFrame, load_date: str, key: str =
     )
     current = dim.where("is_current").select(F.col(key).alias("__k"), F.struct(*tracked).alias("__s"))
     known = dim.select(F.col(key).alias("__any")).distinct()
-    fresh = snapshot.join(current, F.col(key) == F.col("__k"), "left").join(known, F.col(key) == F.col("__any"), "left")
+    fresh = snapshot.join(current.hint("merge"), F.col(key) == F.col("__k"), "left").join(known.hint("merge"), F.col(key) == F.col("__any"), "left")
     fresh = fresh.where(F.col("__k").isNull() | ~F.struct(*[snapshot[c] for c in tracked]).eqNullSafe(F.col("__s"))).withColumn("__new", F.col("__any").isNull().cast("int"))
     last = dim.agg(F.coalesce(F.max(surrogate), F.lit(0))).first()[0]
     added = surrogate_keys(fresh.select(key, name, *tracked, "__new"), ["__new", key], surrogate, last)

@@ -55,10 +55,10 @@ def validate_star(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The same dimension as ``versions``, load by load."""
-    dim = spark.createDataFrame([], scd.TYPE2)
+    """The same dimension as ``versions``, load by load; each but the last is stored, since the next one's plan has it several times."""
+    dim, keep = spark.createDataFrame([], scd.TYPE2), star.stored_in(shared_folder(spark))
     for k, day in enumerate(roles.LOADS):
-        dim = scd.merge_type2(dim, roles.product_snapshot(spark, d, k), day)
+        dim = scd.merge_type2(keep(f"load_{k}", dim) if k else dim, roles.product_snapshot(spark, d, k), day)
     return dim
 
 

@@ -86,3 +86,14 @@ def test_stream_of_snapshots(spark, tmp_path):
     q = merge_stream(spark, str(tmp_path / "in"), loads.schema, lambda n: str(tmp_path / f"dim{n}"), spark.createDataFrame([], scd.TYPE2), str(tmp_path / "state"))
     q.awaitTermination(120)
     assert same(spark.read.parquet(str(tmp_path / "dim0")), scd.with_product_keys(scd.type2(loads)))
+
+
+def test_merged_versions_keep_their_plan_small_and_broadcast_nothing(spark):
+    from millrace.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    got = registry.queries()["scd2_merged"](spark, d)
+    # A plan that holds all loads before has dozens of scans; a broadcast of the catalogue goes through the driver.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert same(got, registry.queries()["scd2"](spark, d))
