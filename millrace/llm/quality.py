@@ -48,6 +48,8 @@ QUANTILE, SLACK, SMOOTH, HELD_BACK = 0.95, 1.1, 40, 4
 BROADCAST_IDS = 2_000_000
 #: Rows of a file that are one chunk, n-grams worked on at a time, and slots of the tables that find them again.
 CHUNK_ROWS, BLOCK, SLOTS = 16384, 1 << 20, 1 << 21
+#: Characters of several texts that are worked on at a time while a chunk's n-grams are held too, and n-grams that wait to be sent.
+PIECE = 1 << 18
 #: Fixed value: the character that stands before a text's first (and for the null character).
 EDGE = "\x02"
 _WEIGHTS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,10 +67,10 @@ class Grams:
         first = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
         self.at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
-    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(self, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places and hashes, so many at a time."""
-        for k in range(0, len(self.at), BLOCK):
-            at = self.at[k : k + BLOCK]
+        for k in range(0, len(self.at), size):
+            at = self.at[k : k + size]
             low, high = int(at[0]), int(at[-1]) + 1
             sums = np.zeros(high - low, np.uint64)
             for j in range(ORDER):
@@ -81,6 +83,25 @@ class Grams:
         return pa.array(codes.view(f"<U{ORDER}").reshape(-1).tolist(), pa.string())
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[slice, Grams]]:
+    """The n-grams of ``texts``, of ``PIECE`` characters at a time; a longer text is one piece."""
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and held + len(text) > PIECE:
+            yield slice(first, k), Grams(texts[first:k])
+            first, held = k, 0
+        held += len(text)
+    if texts:
+        yield slice(first, len(texts)), Grams(texts[first:])
+
+
+def added(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` with ``keys`` (both sorted, each once), and which of these are new."""
+    at = np.searchsorted(known, keys)
+    fresh = known[np.minimum(at, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
+    return np.insert(known, at[fresh], keys[fresh]), fresh
+
+
 def hashes_of(grams: str) -> np.ndarray:
     """The hashes of n-grams end to end."""
     codes = np.frombuffer(grams.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).astype(np.uint64)
@@ -188,23 +209,23 @@ def asked_grams(docs: DataFrame, shards: int) -> DataFrame:
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            grams = Grams([x or "" for x in batch.column(1).to_pylist()])
-            chunks = np.repeat(batch.column(0).to_numpy(), grams.sizes)
-            for k, (at, h) in enumerate(grams.blocks()):
-                chunk = chunks[k * BLOCK : k * BLOCK + len(at)]
-                key = mixed(h ^ chunk.view(np.uint64))
-                slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
-                new = np.flatnonzero(table[slot] != key)
-                table[slot[new]] = key[new]
-                keys, first = np.unique(key[new], return_index=True)
-                fresh = ~np.isin(keys, known, assume_unique=True)  # some only lost their slot to another
-                known = np.union1d(known, keys[fresh])
-                which = new[first[fresh]]
-                waiting.append((chunk[which], h[which], grams.codes[at[which][:, None] + np.arange(ORDER)]))
-                size += len(which)
-                if size >= BLOCK:
-                    yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
-                    waiting, size = [], 0
+            own = batch.column(0).to_numpy()
+            for part, grams in pieces([x or "" for x in batch.column(1).to_pylist()]):
+                chunks = np.repeat(own[part], grams.sizes)
+                for k, (at, h) in enumerate(grams.blocks(PIECE)):
+                    chunk = chunks[k * PIECE : k * PIECE + len(at)]
+                    key = mixed(h ^ chunk.view(np.uint64))
+                    slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+                    new = np.flatnonzero(table[slot] != key)
+                    table[slot[new]] = key[new]
+                    keys, first = np.unique(key[new], return_index=True)
+                    known, fresh = added(known, keys)  # some only lost their slot to another
+                    which = new[first[fresh]]
+                    waiting.append((chunk[which], h[which], grams.codes[at[which][:, None] + np.arange(ORDER)]))
+                    size += len(which)
+                    if size >= PIECE:
+                        yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+                        waiting, size = [], 0
         if size:
             yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
 
@@ -221,8 +242,7 @@ def different_grams(asked: DataFrame, shards: int) -> DataFrame:
             grams = batch.column(1).to_pylist()
             text = "".join(grams)
             h, first = np.unique(hashes_of(text), return_index=True)
-            fresh = ~np.isin(h, known, assume_unique=True)
-            known = np.union1d(known, h[fresh])
+            known, fresh = added(known, h)
             at = first[fresh]
             of = np.repeat(shard, [len(x) // ORDER for x in grams])[at]
             if len(at):
@@ -258,6 +278,17 @@ class Answers:
         return self.logp[at]
 
 
+def costs(texts: list[str], known: Answers) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum of negative log probabilities, and its characters."""
+    nll, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for part, grams in pieces(texts):
+        each = np.concatenate([np.zeros(0), *[known.of(h) for _, h in grams.blocks(PIECE)]])
+        sums = np.append(0.0, np.cumsum(each))
+        ends = np.cumsum(grams.sizes)
+        nll[part], n[part] = sums[ends - grams.sizes] - sums[ends], grams.sizes
+    return nll, n
+
+
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """Group, kind and rows, of batches whose first two columns are these."""
     for batch in batches:
@@ -326,13 +357,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for packed in rows.column(4).to_pylist():
                 for own in pa.ipc.open_stream(packed):
                     texts = [x or "" for x in own.column(text).to_pylist()]
-                    grams = Grams(texts)
-                    each = np.concatenate([np.zeros(0), *[known.of(h) for _, h in grams.blocks()]])
-                    sums = np.append(0.0, np.cumsum(each))
-                    ends = np.cumsum(grams.sizes)
-                    nll = sums[ends - grams.sizes] - sums[ends]
+                    nll, n = costs(texts, known)
                     nothing = np.array([not x.strip() for x in texts])
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nll, mask=nothing), pa.array(grams.sizes)], [*names, "__nll", "__n"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nll, mask=nothing), pa.array(n)], [*names, "__nll", "__n"])
 
     return map_batches(both, run, schema)
 
