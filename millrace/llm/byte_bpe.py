@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches
 
-#: Encoded pre-tokens of each of the two generations that a Python worker remembers, and pairs of neighbours.
-MEMO_LIMIT, NEIGHBOURS_LIMIT = 120_000, 500_000
+#: Bytes that each of the two generations of encoded pre-tokens may take in a Python worker, and pairs of neighbours.
+MEMO_LIMIT, NEIGHBOURS_LIMIT = 10 << 20, 200_000
 #: The same where encoding is all that a session does; they are then kept from task to task.
-MEMO_LIMIT_ALONE = 500_000
+MEMO_LIMIT_ALONE, NEIGHBOURS_LIMIT_ALONE = 80 << 20, 500_000
+#: What an entry takes in a dictionary, beside its word and its tokens.
+ENTRY_BYTES = 48
+#: Rows that are encoded or decoded at a time.
+SLICE_ROWS = 200
 NEVER = 1 << 60
 _CODECS: dict[str, ByteBpe] = {}
 
@@ -46,7 +50,9 @@ def unicode_spaces(pattern: str) -> str:
 class Memo(dict):
     """Pre-tokens and their tokens in one form: as 32-bit numbers (bytes), or as decimal ids joined by commas (text).
 
-    Two generations: words that were used since the last time live on. A pre-token whose tokens
+    Two generations: words that were used since the last time live on. Their size in bytes is
+    bounded, not their number, for a pre-token may be as long as a text; one that takes more
+    than a sixteenth of the room is not remembered. A pre-token whose tokens
     don't decode to its own bytes is noted in ``odd``, so the others' needn't be kept.
     """
 
@@ -54,7 +60,7 @@ class Memo(dict):
 
     def __init__(self, codec: ByteBpe, form: str):
         super().__init__()
-        self.codec, self.form, self.limit = codec, form, MEMO_LIMIT
+        self.codec, self.form, self.limit, self.taken = codec, form, MEMO_LIMIT, 0
         self.older: dict[str, bytes | str] = {}
         self.odd: dict[str, bytes] = {}
 
@@ -67,15 +73,21 @@ class Memo(dict):
             decoded = self.codec.decode(ids)
             if decoded != piece:
                 self.odd[word] = decoded
-        if len(self) >= self.limit:
+        own = word.__sizeof__() + found.__sizeof__() + ENTRY_BYTES
+        if own > self.limit // 16:
+            return found
+        if self.taken + own > self.limit:
+            self.older = {}
             self.older = dict(self)
             self.clear()
+            self.taken = 0
         self[word] = found
+        self.taken += own
         return found
 
     def forget(self) -> None:
         self.clear()
-        self.older = {}
+        self.older, self.taken, self.odd = {}, 0, {}
 
 
 class ByteBpe:
@@ -92,6 +104,7 @@ class ByteBpe:
         self.split = regex.compile(unicode_spaces(pattern)).findall
         self.memos = {form: Memo(self, form) for form in (Memo.IDS, Memo.TEXT)}
         self.neighbours: dict[int, bool] = {}
+        self.neighbours_limit = NEIGHBOURS_LIMIT
         self.shorter: dict[int, int | None] = {}
         self.edges: tuple[dict[int, list[tuple[bytes, int]]], ...] = ({}, {})
         self.size: dict[int, int] = {}
@@ -145,7 +158,7 @@ class ByteBpe:
         key = left << 32 | right
         known = self.neighbours.get(key)
         if known is None:
-            if len(self.neighbours) > NEIGHBOURS_LIMIT:
+            if len(self.neighbours) > self.neighbours_limit:
                 self.neighbours.clear()
             known = self.neighbours[key] = self._keep_apart(self.edge(left, 1), self.edge(right, 0))
         return known
@@ -277,12 +290,13 @@ class ByteBpe:
 
 @contextlib.contextmanager
 def codec(rank_file: bytes, pattern: str, memo_limit: int = MEMO_LIMIT, keep: bool = False) -> Iterator[ByteBpe]:
-    """One codec for each vocabulary and Python worker, lent to a task. What it memoised goes with the task unless the next one should ``keep`` it."""
+    """One codec for each vocabulary and Python worker, lent to a task. What it memoised, by default in ``memo_limit`` bytes a generation, goes with the task unless the next one should ``keep`` it."""
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = ByteBpe(rank_file, pattern)
     for memo in _CODECS[key].memos.values():
         memo.limit = memo_limit
+    _CODECS[key].neighbours_limit = NEIGHBOURS_LIMIT_ALONE if keep else NEIGHBOURS_LIMIT
     try:
         yield _CODECS[key]
     finally:
@@ -296,13 +310,20 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: a batch's texts, their words and ids would stand beside each other several times."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its id and the token ids (null text: none)."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(sent.value, pattern) as bpe:
-            for batch in batches:
+            for batch in in_slices(batches):
                 rows = [bpe.packed(x or "") for x in batch.column(1).to_pylist()]
                 ends = (np.cumsum([0, *map(len, rows)]) // 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["id", "ids"])
@@ -316,7 +337,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(sent.value, pattern) as bpe:
-            for batch in batches:
+            for batch in in_slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return map_batches(encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")), run, "id long, text string").withColumnRenamed("id", id_col)
