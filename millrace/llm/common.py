@@ -56,6 +56,13 @@ def give_back_memory() -> None:
         pass
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """The same for the executors' heaps, by a full collection in each task slot: of hundreds of MB that one stage made a heap grow by, little is alive at its end, but a large heap puts off the collection that would shrink it."""
+    slots = spark.sparkContext.defaultParallelism
+    collected = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, slots, 1, slots).select(collected).write.format("noop").mode("overwrite").save()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
